@@ -13,5 +13,13 @@ def op2_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_media(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_ogg": op2_ogg}
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import token_digests
+
+    return token_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {"op2_ogg": op2_ogg, "op6_bpe": op6_bpe}
 ORACLE_SQL: dict[str, str] = {}
