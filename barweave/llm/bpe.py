@@ -21,6 +21,7 @@ import hashlib
 import json
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -273,11 +274,10 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     digest, source = _shipped(docs, path)
 
     @F.pandas_udf("array<int>")
-    def ids(texts: "pd.Series") -> "pd.Series":  # noqa: F821, UP037
+    def ids(texts: pd.Series) -> pd.Series:
         own = codec(digest, source.value)
         return texts.map(lambda t: None if t is None else own.encode(t))
 
-    ids.func.__annotations__.clear()
     return docs.withColumn(ids_col, ids(F.col(text_col)))
 
 
@@ -286,7 +286,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text
     digest, source = _shipped(df, path)
 
     @F.pandas_udf("string")
-    def text(ids: "pd.Series") -> "pd.Series":  # noqa: F821, UP037
+    def text(ids: pd.Series) -> pd.Series:
         own = codec(digest, source.value)
         return ids.map(lambda x: None if x is None else own.decode(x))
 

@@ -21,5 +21,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op2_ogg": op2_ogg, "op6_bpe": op6_bpe}
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import document_languages
+
+    return document_languages(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_ogg": op2_ogg, "op6_bpe": op6_bpe, "op7_langid": op7_langid}
 ORACLE_SQL: dict[str, str] = {}
