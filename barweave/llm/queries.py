@@ -27,11 +27,17 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_languages(read_table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import document_quality
 
     return document_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op2_ogg": op2_ogg, "op6_bpe": op6_bpe, "op7_langid": op7_langid, "op10_quality": op10_quality}
+QUERIES = {"op2_ogg": op2_ogg, "op6_bpe": op6_bpe, "op7_langid": op7_langid, "op8_simhash": op8_simhash, "op10_quality": op10_quality}
 ORACLE_SQL: dict[str, str] = {}
