@@ -7,6 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 
 
+def op1_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import neighbours
+
+    return neighbours(read_table(spark, sf_dir, "embeddings"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
 def op2_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ogg import document_media
 
@@ -39,5 +51,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op2_ogg": op2_ogg, "op6_bpe": op6_bpe, "op7_langid": op7_langid, "op8_simhash": op8_simhash, "op10_quality": op10_quality}
+QUERIES = {
+    "op1_ivfpq": op1_ivfpq,
+    "op2_ogg": op2_ogg,
+    "op4_packing": op4_packing,
+    "op6_bpe": op6_bpe,
+    "op7_langid": op7_langid,
+    "op8_simhash": op8_simhash,
+    "op10_quality": op10_quality,
+}
 ORACLE_SQL: dict[str, str] = {}
