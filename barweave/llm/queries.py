@@ -45,6 +45,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op9_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rlz import deduplicate
+
+    return deduplicate(read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import document_quality
 
@@ -58,6 +64,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_langid": op7_langid,
     "op8_simhash": op8_simhash,
+    "op9_rlz": op9_rlz,
     "op10_quality": op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {}
