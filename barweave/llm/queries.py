@@ -13,6 +13,12 @@ def op1_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(read_table(spark, sf_dir, "embeddings"))
 
 
+def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import deduplicate
+
+    return deduplicate(read_table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -60,6 +66,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ivfpq": op1_ivfpq,
     "op2_ogg": op2_ogg,
+    "op3_suffix": op3_suffix,
     "op4_packing": op4_packing,
     "op6_bpe": op6_bpe,
     "op7_langid": op7_langid,
