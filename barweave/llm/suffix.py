@@ -151,10 +151,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     All occurrences go, the first too; matches do not cross documents. Null texts count as empty; a repeated row counts as another
     document; an empty table gives an empty result; other columns are not read. With keep_text the remaining text
-    comes along as `kept`: a character of which any byte goes, goes whole.
+    comes along as `kept` (a character of which any byte goes, goes whole), and the row's `uid`.
     """
     rows, spans = repeated_spans(docs, "bytes", window, min(GRAM, window), scan, False, id_col, text_col)
-    ddl = REMOVED + (", kept string" if keep_text else "")
+    ddl = REMOVED + (", kept string, uid long" if keep_text else "")
     made = arrow_schema(ddl)
 
     def run(batches):
@@ -170,6 +170,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     lead = [next(k for k in range(a, -1, -1) if k == len(text) or text[k] & 0xC0 != 0x80) for a in s.tolist()]
                     tail = [next((k for k in range(b, min(b + 4, len(text))) if text[k] & 0xC0 != 0x80), len(text)) for b in e.tolist()]
                     row.append(b"".join([text[a:b] for a, b in zip([0, *tail], [*lead, len(text)])]).decode())
+                    row.append(batch.column(0)[i].as_py())
                 for name, value in zip(out, row):
                     out[name].append(value)
             yield zipped(made, **out)
