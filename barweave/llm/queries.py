@@ -31,6 +31,12 @@ def op2_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_media(read_table(spark, sf_dir, "documents"))
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import score_texts
+
+    return score_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -68,6 +74,7 @@ QUERIES = {
     "op2_ogg": op2_ogg,
     "op3_suffix": op3_suffix,
     "op4_packing": op4_packing,
+    "op5_katz": op5_katz,
     "op6_bpe": op6_bpe,
     "op7_langid": op7_langid,
     "op8_simhash": op8_simhash,
