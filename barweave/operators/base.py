@@ -8,7 +8,7 @@ series with a bounded history (`kernel`, batch and streams). Both give the same
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field, fields, replace
 from typing import Any, ClassVar
 
 import numpy as np
@@ -74,8 +74,8 @@ class Transform:
         return True
 
     def fresh(self) -> Transform:
-        """A copy without state; a specification has none, so itself."""
-        return self
+        """A copy without live state."""
+        return replace(self)
 
     def prepare(self, x: list[Column], order: WindowSpec) -> list[Column]:
         """Per-row terms that `plan` aggregates; they become columns of their own first."""
@@ -95,6 +95,22 @@ class Transform:
 
     STATE: ClassVar[int] = 0
 
+    # -- live use of one transform by itself; a missing value is NaN ------------------------------------
+
+    def update(self, bar: Sequence[float | None]) -> list[float]:
+        """The outputs for one more bar, its values in the order of `inputs`."""
+        if len(bar) != len(self.inputs):
+            raise InvalidInputError(f"{len(self.inputs)} values are needed, not {len(bar)}")
+        history, state = self.__dict__.get("_live") or ([np.zeros(0)] * len(bar), [float("nan")] * self.STATE)
+        x = [np.append(h, np.nan if v is None else float(v)) for h, v in zip(history, bar)]
+        out, state = self.kernel(x, len(x[0]) - 1, state)
+        keep = self.history()
+        object.__setattr__(self, "_live", ([v[max(0, len(v) - keep) :] for v in x], state))
+        return [float(o[-1]) for o in out]
+
+    def reset(self) -> None:
+        object.__setattr__(self, "_live", None)
+
     def parameters(self) -> dict[str, Any]:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 
@@ -137,3 +153,18 @@ class Target:
 
     def plan(self, x: list[Column], terms: list[Column], order: WindowSpec) -> list[Column]:
         raise NotImplementedError
+
+    def kernel(self, x: list[np.ndarray]) -> list[np.ndarray]:
+        """The outputs for one whole series; NaN stands for null."""
+        raise NotImplementedError
+
+    def run_research(self, columns: Sequence[Sequence[float | None]]) -> list[list[float]]:
+        """The outputs, as columns, for one series given as columns in the order of `inputs`."""
+        return [o.tolist() for o in self.kernel(local(columns, len(self.inputs)))]
+
+
+def local(columns: Sequence[Sequence[float | None]], n: int) -> list[np.ndarray]:
+    """Columns of one length as arrays with NaN for missing values."""
+    if len(columns) != n or len({len(c) for c in columns}) > 1:
+        raise InvalidInputError(f"{n} columns of one length are needed")
+    return [np.array([np.nan if v is None else float(v) for v in c], float) for c in columns]

@@ -13,7 +13,7 @@ from ..errors import InvalidConfigError, InvalidInputError
 from ..functions.columns import difference_quotient, linear_slope, rolling
 from . import stationarity
 from .base import Sequence, Transform, whole
-from .kernels import CORRELATIONS, co_moments, entropy, framed, framed_many, moments, ratio, recurrence
+from .kernels import CORRELATIONS, entropy, framed, framed_many, line, moments, ratio, recurrence
 
 
 @dataclass(frozen=True)
@@ -155,12 +155,7 @@ class LinearSlope(_Rolling):
         return [rolling(f, both, order, 1 - self.window, 0) for f in linear_slope(x[0], x[1])]
 
     def kernel(self, x, skip, state):
-        def fit(a, b):
-            sxx, syy, sxy = co_moments(a, b)
-            slope = ratio(sxy, sxx)
-            return slope, ratio(slope * sxy, syy)
-
-        return framed_many(x[:2], self.window, fit, 2), state
+        return framed_many(x[:2], self.window, line, 2), state
 
 
 @dataclass(frozen=True)

@@ -57,6 +57,13 @@ def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(b == 0, np.nan, a / np.where(b == 0, 1, b))
 
 
+def line(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(slope, R squared) of y on x in frames."""
+    sxx, syy, sxy = co_moments(x, y)
+    slope = ratio(sxy, sxx)
+    return slope, ratio(slope * sxy, syy)
+
+
 def pearson(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     sxx, syy, sxy = co_moments(x, y)
     return ratio(sxy, np.sqrt(sxx * syy))

@@ -74,11 +74,17 @@ class StandardScalerParams(NamedTuple):
     std: float
 
 
-def fit_standard_scaler(df: DataFrame, column: str, key: list[str] | None = None) -> StandardScalerParams | DataFrame:
+def fit_standard_scaler(df: DataFrame | Sequence[float | None], column: str | None = None, key: list[str] | None = None) -> StandardScalerParams | DataFrame:
     """Mean and sample standard deviation of the non-null values: a tuple, or with `key` a row for each key.
 
     Under two values, or values all equal, are an error; per key they give null parameters. One hash aggregate.
+    A local sequence of values can stand in for a table and column.
     """
+    if column is None:
+        v = np.array([x for x in df if x is not None and x == x], float)
+        if len(v) < 2 or v.max() == v.min():
+            raise InvalidInputError("at least two valid values that differ are needed")
+        return StandardScalerParams(float(v.mean()), float(v.std(ddof=1)))
     x = clean(column)
     n, mean, std = F.count(x), F.avg(x), F.stddev_samp(x)
     if key:

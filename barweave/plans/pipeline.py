@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..errors import DuplicateOutputKeyError, InvalidConfigError, InvalidInputError, MissingInputColumnError
 from ..functions.columns import clean
-from ..operators.base import Target, Transform
+from ..operators.base import Target, Transform, local
 from .dag import FeatureDag
 from .runner import SeriesRunner
 
@@ -69,7 +69,7 @@ class FeaturePipeline:
         if not features:
             raise InvalidConfigError("a pipeline needs a feature")
         _unique_inputs(columns)
-        self.dag = FeatureDag(features)
+        self.dag = FeatureDag([f.fresh() for f in features])
         missing = [n for n in self.dag.required() if n not in columns]
         if missing:
             raise MissingInputColumnError(f"neither input nor output of a feature: {missing!r}")
@@ -103,19 +103,19 @@ class FeaturePipeline:
 
     # -- live, one bar at a time ---------------------------------------------------------------
 
-    def update(self, bar: Sequence[float | None]) -> list[float | None]:
-        """The outputs for one more bar of a single series; None for no value."""
+    def update(self, bar: Sequence[float | None]) -> list[float]:
+        """The outputs for one more bar of a single series; NaN for no value."""
         if len(bar) != len(self.columns):
             raise InvalidInputError(f"{len(self.columns)} values are needed, not {len(bar)}")
         self._live = self._live or SeriesRunner(self.dag)
         row = {n: np.array([np.nan if v is None else float(v)]) for n, v in zip(self.columns, bar)}
         out = self._live.step(row)
-        return [None if np.isnan(out[n][0]) else float(out[n][0]) for n in self.output_names()]
+        return [float(out[n][0]) for n in self.output_names()]
 
     def reset(self) -> None:
         self._live = None
 
-    def run_research(self, rows: Sequence[Sequence[float | None]]) -> list[list[float | None]]:
+    def run_research(self, rows: Sequence[Sequence[float | None]]) -> list[list[float]]:
         """Reset, then the outputs for each bar; a following `update` goes on from the last one."""
         for r in rows:
             if len(r) != len(self.columns):
@@ -123,8 +123,7 @@ class FeaturePipeline:
         self._live = SeriesRunner(self.dag)
         data = np.array([[np.nan if v is None else float(v) for v in r] for r in rows]).reshape(len(rows), len(self.columns))
         out = self._live.step({n: data[:, k] for k, n in enumerate(self.columns)})
-        made = np.stack([out[n] for n in self.output_names()], 1) if len(rows) else np.zeros((0, 0))
-        return [[None if np.isnan(v) else float(v) for v in r] for r in made]
+        return np.stack([out[n] for n in self.output_names()], 1).tolist() if len(rows) else []
 
     # -- batch ------------------------------------------------------------------------------------
 
@@ -256,6 +255,11 @@ class TargetPipeline:
     def forward_period(self) -> int:
         return max(t.forward_period() for t in self.targets)
 
+    def run_research(self, columns: Sequence[Sequence[float | None]]) -> list[list[float]]:
+        """The targets, as columns, of one local series given as columns in the order of the inputs; NaN for no value."""
+        x = dict(zip(self.columns, local(columns, len(self.columns))))
+        return [o.tolist() for t in self.targets for o in t.kernel([x[n] for n in t.input_names()])]
+
     def transform(self, df: DataFrame, key: str | Sequence[str], order: str | Sequence[str], keep_input: bool = True) -> DataFrame:
         """df with the targets as columns: one shuffle on the key, all targets in one pass of window operators."""
         key, order = _named(key), _named(order)

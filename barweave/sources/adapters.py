@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import SparkSession
 
 from ..errors import MissingInputColumnError
 from ..plans.pipeline import FeaturePipeline, TargetPipeline
@@ -23,15 +22,11 @@ def run_features_pipeline_pandas(pipeline: FeaturePipeline, df: pd.DataFrame) ->
     return pd.DataFrame(pipeline.run_research(rows), index=df.index, columns=pipeline.output_names(), dtype=float)
 
 
-def run_targets_pipeline_pandas(pipeline: TargetPipeline, df: pd.DataFrame, spark: SparkSession | None = None) -> pd.DataFrame:
-    """The targets for each row, on the same index, by a Spark job over the table as one series."""
+def run_targets_pipeline_pandas(pipeline: TargetPipeline, df: pd.DataFrame) -> pd.DataFrame:
+    """The targets for each row, on the same index."""
     _checked(pipeline, df.columns)
-    spark = spark or SparkSession.builder.getOrCreate()
-    names = pipeline.input_names()
-    rows = [(i, *(None if v != v else v for v in r)) for i, r in enumerate(df[names].to_numpy(float, na_value=np.nan).tolist())]
-    schema = ", ".join(["__at long", *[f"`{n}` double" for n in names]])
-    out = pipeline.transform(spark.createDataFrame(rows, schema), [], "__at", keep_input=False).orderBy("__at").toPandas()
-    return out[pipeline.output_names()].astype(float).set_index(df.index)
+    columns = [df[n].to_numpy(float, na_value=np.nan) for n in pipeline.input_names()]
+    return pd.DataFrame(dict(zip(pipeline.output_names(), pipeline.run_research(columns))), index=df.index, dtype=float)
 
 
 def run_features_pipeline_polars(pipeline: FeaturePipeline, df):
@@ -41,10 +36,10 @@ def run_features_pipeline_polars(pipeline: FeaturePipeline, df):
     return pl.DataFrame({c: out[c].to_numpy() for c in out})
 
 
-def run_targets_pipeline_polars(pipeline: TargetPipeline, df, spark: SparkSession | None = None):
+def run_targets_pipeline_polars(pipeline: TargetPipeline, df):
     import polars as pl
 
-    out = run_targets_pipeline_pandas(pipeline, _from_polars(pipeline, df), spark)
+    out = run_targets_pipeline_pandas(pipeline, _from_polars(pipeline, df))
     return pl.DataFrame({c: out[c].to_numpy() for c in out})
 
 
