@@ -153,7 +153,8 @@ def repeated_spans(docs: DataFrame, kind: str, window: int, gram: int, kernel: K
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
     table = stored(anchor_table(rows, kind, window, gram), "anchors")
-    common = table.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("a")
+    # stored, so that the join's sides are plain shuffles and a hot anchor's rows can be split over tasks
+    common = stored(table.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("a"), "common-anchors")
     again = stored(table.join(common, "a", "left_semi"), "shared-anchors")
     first = F.min(F.struct("doc", "lo", "uid", "n", "d")).alias("rep")
     classes = stored(again.groupBy("a", "c").agg(F.count(F.lit(1)).alias("many"), first), "classes")
@@ -161,7 +162,7 @@ def repeated_spans(docs: DataFrame, kind: str, window: int, gram: int, kernel: K
     if keep_first:
         settled = settled.filter("not (doc <=> rep.doc and lo = rep.lo)")
     settled = settled.select("uid", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + window).alias("e"))
-    mixed = classes.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("a")
+    mixed = stored(classes.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("a"), "mixed-anchors")
     reps = stored(classes.join(mixed, "a", "left_semi").select("a", "many", "rep.*"), "representatives")
     size = reps.agg(F.sum(F.col("n") + window)).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size * (1 if kind == "bytes" else 8) // SHARD_BYTES))
