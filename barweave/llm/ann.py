@@ -80,9 +80,13 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that squares stay finite; that rounds nothing and changes no cosine."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) if x.size else x
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    scale = np.abs(x).max(1, keepdims=True)
-    x = x / scale  # keeps squares finite
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -116,7 +120,7 @@ def probes_for(x: np.ndarray, model: Quantiser, recall: float, k: int = 5, queri
 
 
 def build(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", sample_rows: int = 20000, lists: int | None = None, parts: int = 16, codes: int = 256, recall: float = 0.98) -> Index | None:
-    """Index all usable vectors. Fitted on the `sample_rows` rows with the smallest id hash.
+    """Index all usable vectors. Fitted on the `sample_rows` rows at most with the smallest id hash.
 
     `lists` is by default half the root of the number of rows, 1024 at most. Vectors of another length than
     the most frequent one (the shorter, on a tie) take no part. None without any usable vector.
@@ -127,7 +131,9 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     if found is None:
         return None
     rows = rows.filter(F.size("v") == found["d"])
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").toPandas()
+    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    near_enough = rows.filter(draw < int(min(1.0, 1.2 * sample_rows / found["n"]) * (1 << 30)))  # so that no more reaches the driver
+    sample = near_enough.orderBy(draw, "id").limit(sample_rows).select("v").toPandas()
     x = unit(np.stack(sample["v"].to_numpy()).astype(np.float64))
     model = Quantiser.fit(x, lists or max(1, min(1024, round(found["n"] ** 0.5 / 2))), parts, codes)
     held = rows.sparkSession.sparkContext.broadcast(model)
@@ -187,9 +193,9 @@ def search(index: Index, queries: DataFrame, k: int = 5, probes: int | None = No
             return out.empty_table()
         model = held.value[0]
         col = lambda t, n: t.column(n).combine_chunks()
-        ids, v = col(left, "id").to_numpy(), matrix(col(left, "v"))
+        ids, v = col(left, "id").to_numpy(), scaled(matrix(col(left, "v")))
         coded = np.frombuffer(b"".join(col(left, "codes").to_pylist()), np.uint8).reshape(len(ids), -1)
-        qid, q = col(right, "query_id").to_numpy(), matrix(col(right, "q"))
+        qid, q = col(right, "query_id").to_numpy(), scaled(matrix(col(right, "q")))
         length = np.sqrt((v * v).sum(1))
         center = col(left, "list")[0].as_py()
         got = [[], [], []]

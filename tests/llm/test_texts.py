@@ -339,3 +339,17 @@ def test_best_fit():
         assert fast.place(size, source, cluster) == (k, at)
     b = packing.BestFit(10)
     assert [b.place(1, None, None)[0] for _ in range(3)] == [0, 0, 0]
+
+
+def test_katz_equal_chunks(spark, texts):
+    """Two partitions of equal rows make equal chunks; each row still gets its own score once."""
+    import pandas as pd
+
+    own = [(i, t) for i, t in texts if i is not None][:12]
+    one = spark.createDataFrame(own, "doc_id long, text string").coalesce(1)
+    got = katz.score_texts(one.union(one)).toPandas()
+    assert len(got) == 2 * len(own)
+    spread = pd.DataFrame(got).groupby("doc_id")["score"].agg(["min", "max", "count"])
+    assert (spread["count"] == 2).all() and np.allclose(spread["min"], spread["max"]) and (spread["max"] < 0).all()
+    alone = katz.score_texts(spark.createDataFrame(own + own, "doc_id long, text string").repartition(5)).toPandas().groupby("doc_id")["score"].first()
+    np.testing.assert_allclose(alone, spread["min"], rtol=1e-9)
