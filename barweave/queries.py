@@ -6,15 +6,19 @@ put in by rule on both sides; bars are `events` by type and half-hour. Doubles a
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import diagnostics, is_inf, is_none, is_valid
+from .functions import diagnostics, is_inf, is_none, is_valid, linear_slope, pairwise, rolling, shift, std_dev
 from .operators import *  # noqa: F403
 from .plans import FeaturePipeline, TargetPipeline
-from .sources import bars_from_ticks
+from .plans.pipeline import window_order
+from .sources import bars_from_ticks, stream_series
+from .streaming import drain
 
 KEY, ORDER = ["user_id"], ["ts", "event_id"]
 SERIES = """
@@ -269,6 +273,54 @@ def query_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("event_id", is_none(v).alias("missing"), is_inf(v).alias("infinite"), is_valid(v).alias("valid"))
 
 
+def query_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shift both ways, a pairwise expression and a rolling aggregate of one's own."""
+    w = window_order(KEY, ORDER)
+    x, y = F.col("x"), F.col("y")
+    made = series(spark, sf_dir).select(
+        "event_id", shift(x, 2, w).alias("before"), shift(x, -2, w).alias("after"), pairwise(x, y, lambda a, b: a * b - a).alias("pair"),
+        rolling(lambda f: F.max(x).over(f) - F.min(x).over(f), x, w, -3, 0).alias("spread"),
+    )
+    return rounded(made, ["before", "after", "pair", "spread"], ["event_id"])
+
+
+def query_std_dev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(series(spark, sf_dir).groupBy("user_id").agg(std_dev(F.col("u")).alias("u_std"), std_dev(F.col("event_id").cast("double")).alias("id_std")), ["u_std", "id_std"], KEY)
+
+
+def query_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slope kernel over a running frame."""
+    frame = window_order(KEY, ORDER).rowsBetween(-9, 0)
+    slope, _ = linear_slope(F.col("event_id").cast("double"), F.coalesce("z", F.lit(0.0)))
+    return rounded(series(spark, sf_dir).select("event_id", slope(frame).alias("slope")), ["slope"], ["event_id"])
+
+
+MIXED = [Ema("x", 5, ["e"]), Subtract(["x", "e"], ["gap"]), Sma("x", 5, ["m"])]
+
+
+def query_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Window plans and the Arrow pass in one pipeline."""
+    return rounded(FeaturePipeline(MIXED, ["x"]).transform(series(spark, sf_dir), KEY, ORDER), ["m", "e", "gap"], ["event_id", "user_id"])
+
+
+def query_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same features on a stream of the table's files."""
+    path = f"{sf_dir}/events.parquet"
+    source = stream_series(spark, f"{path}*", spark.read.parquet(path).schema).selectExpr(*[c.strip() for c in _split(SERIES)])
+    made = FeaturePipeline(MIXED, ["x"]).transform_stream(source, KEY, ORDER)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barweave-")
+    return rounded(drain(made, f"{folder}/stream-{uuid.uuid4().hex}"), ["m", "e", "gap"], ["event_id", "user_id"])
+
+
+MIXED_SQL = f"WITH RECURSIVE s AS (SELECT {SERIES} FROM events), e AS ({EMA_SQL}), m AS (SELECT event_id, x, {whole('x IS NOT NULL', 5, f'avg(x) OVER {over(5)}')} AS m FROM s) SELECT event_id, user_id, round(m, 6) + 0.0 AS m, round(o, 6) + 0.0 AS e, round(x - o, 6) + 0.0 AS gap FROM e JOIN m USING (event_id)"
+QUERIES |= {"tools": query_tools, "std_dev": query_std_dev, "slope": query_slope, "mixed_pipeline": query_mixed, "stream_pipeline": query_stream}
+ORACLE_SQL |= {
+    "tools": f"WITH s AS (SELECT {SERIES} FROM events) " + rounded_sql(["before", "after", "pair", "spread"], ["event_id"], f"SELECT event_id, {lagged('x', 2)} AS before, lead(x, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after, x * y - x AS pair, {whole('x IS NOT NULL', 4, f'max(x) OVER {over(4)} - min(x) OVER {over(4)}')} AS spread FROM s"),
+    "std_dev": rounded_sql(["u_std", "id_std"], KEY, f"SELECT user_id, CASE WHEN count(u) = count(*) AND count(u) > 1 THEN stddev_samp(u) END AS u_std, CASE WHEN count(*) > 1 THEN stddev_samp(event_id::DOUBLE) END AS id_std FROM (SELECT {SERIES} FROM events) GROUP BY 1"),
+    "slope": rounded_sql(["slope"], ["event_id"], f"SELECT event_id, CASE WHEN regr_sxx(coalesce(z, 0), event_id) OVER {over(10)} > 0 THEN regr_sxy(coalesce(z, 0), event_id) OVER {over(10)} / regr_sxx(coalesce(z, 0), event_id) OVER {over(10)} END AS slope FROM (SELECT {SERIES} FROM events)"),
+    "mixed_pipeline": MIXED_SQL,
+    "stream_pipeline": MIXED_SQL,
+}
 QUERIES |= {"bars": query_bars, "fit_standard_scaler": query_scaler, "fit_standard_scaler_whole": query_scaler_whole, "diagnostics": query_diagnostics, "checks": query_checks}
 FIT = "SELECT {} CASE WHEN count(x) >= 2 AND stddev_samp(x) > 0 THEN avg(x) END AS mean, CASE WHEN count(x) >= 2 AND stddev_samp(x) > 0 THEN stddev_samp(x) END AS std FROM (SELECT " + SERIES + " FROM events) {}"
 ORACLE_SQL |= {

@@ -1,5 +1,5 @@
 """Features on Structured Streaming."""
 
-from .processor import final_state, transform_stream
+from .processor import drain, final_state, transform_stream
 
-__all__ = ["final_state", "transform_stream"]
+__all__ = ["drain", "final_state", "transform_stream"]

@@ -108,3 +108,12 @@ def final_state(pipeline, df: DataFrame, key: list[str] | str, order: list[str]
 
     return work.mapInPandas(run, schema)
 
+
+def drain(df: DataFrame, folder: str) -> DataFrame:
+    """Run a stream over what is available now into Parquet files under `folder`, and read them.
+
+    The folder also takes the checkpoint; a run that broke off goes on from there.
+    """
+    query = df.writeStream.format("parquet").option("path", f"{folder}/data").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/data")
