@@ -155,6 +155,12 @@ class FeaturePipeline:
         outputs = self.output_names()
         return work.select(*[f"`{c}`" for c in rest if c not in outputs], *[F.col(f"`__out_{n}`").alias(n) for n in outputs])
 
+    def transform_spread(self, df: DataFrame, key: str | Sequence[str], order: str | Sequence[str], partitions: int | None = None, keep_input: bool = True) -> DataFrame:
+        """The same, with rows dealt by range: for a hot series, or a long one without a key. No Ema or Kama."""
+        from .spread import transform_spread
+
+        return transform_spread(self, df, _named(key), _named(order), partitions, keep_input)
+
     def _arrow_pass(self, work: DataFrame, rest: list[str], hidden: dict[str, str], key: list[str], order: list[str]) -> DataFrame:
         dag, nodes = self.dag, self._slow
         made_before = [n for i, f in enumerate(dag.features) if i not in set(nodes) for n in f.output_names()]

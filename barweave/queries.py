@@ -295,6 +295,12 @@ def query_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(series(spark, sf_dir).select("event_id", slope(frame).alias("slope")), ["slope"], ["event_id"])
 
 
+def query_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chained pipeline with rows dealt by range."""
+    p = FeaturePipeline(CHAIN, ["x"])
+    return rounded(p.transform_spread(series(spark, sf_dir), KEY, ORDER), p.output_names(), ["event_id", "user_id"])
+
+
 MIXED = [Ema("x", 5, ["e"]), Subtract(["x", "e"], ["gap"]), Sma("x", 5, ["m"])]
 
 
@@ -313,13 +319,14 @@ def query_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MIXED_SQL = f"WITH RECURSIVE s AS (SELECT {SERIES} FROM events), e AS ({EMA_SQL}), m AS (SELECT event_id, x, {whole('x IS NOT NULL', 5, f'avg(x) OVER {over(5)}')} AS m FROM s) SELECT event_id, user_id, round(m, 6) + 0.0 AS m, round(o, 6) + 0.0 AS e, round(x - o, 6) + 0.0 AS gap FROM e JOIN m USING (event_id)"
-QUERIES |= {"tools": query_tools, "std_dev": query_std_dev, "slope": query_slope, "mixed_pipeline": query_mixed, "stream_pipeline": query_stream}
+QUERIES |= {"tools": query_tools, "std_dev": query_std_dev, "slope": query_slope, "mixed_pipeline": query_mixed, "stream_pipeline": query_stream, "spread_pipeline": query_spread}
 ORACLE_SQL |= {
     "tools": f"WITH s AS (SELECT {SERIES} FROM events) " + rounded_sql(["before", "after", "pair", "spread"], ["event_id"], f"SELECT event_id, {lagged('x', 2)} AS before, lead(x, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after, x * y - x AS pair, {whole('x IS NOT NULL', 4, f'max(x) OVER {over(4)} - min(x) OVER {over(4)}')} AS spread FROM s"),
     "std_dev": rounded_sql(["u_std", "id_std"], KEY, f"SELECT user_id, CASE WHEN count(u) = count(*) AND count(u) > 1 THEN stddev_samp(u) END AS u_std, CASE WHEN count(*) > 1 THEN stddev_samp(event_id::DOUBLE) END AS id_std FROM (SELECT {SERIES} FROM events) GROUP BY 1"),
     "slope": rounded_sql(["slope"], ["event_id"], f"SELECT event_id, CASE WHEN regr_sxx(coalesce(z, 0), event_id) OVER {over(10)} > 0 THEN regr_sxy(coalesce(z, 0), event_id) OVER {over(10)} / regr_sxx(coalesce(z, 0), event_id) OVER {over(10)} END AS slope FROM (SELECT {SERIES} FROM events)"),
     "mixed_pipeline": MIXED_SQL,
     "stream_pipeline": MIXED_SQL,
+    "spread_pipeline": ORACLE_SQL["feature_pipeline"],
 }
 QUERIES |= {"bars": query_bars, "fit_standard_scaler": query_scaler, "fit_standard_scaler_whole": query_scaler_whole, "diagnostics": query_diagnostics, "checks": query_checks}
 FIT = "SELECT {} CASE WHEN count(x) >= 2 AND stddev_samp(x) > 0 THEN avg(x) END AS mean, CASE WHEN count(x) >= 2 AND stddev_samp(x) > 0 THEN stddev_samp(x) END AS std FROM (SELECT " + SERIES + " FROM events) {}"

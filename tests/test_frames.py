@@ -86,6 +86,24 @@ def test_one_shuffle_and_no_key(spark):
         same([r[n] for n in p.output_names()], want["k0", r["t"]])
 
 
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_spread_over_ranges(spark, parts):
+    specs = [s for s in SPECS if not isinstance(s, (Ema, Kama, LogReturn))]
+    rows, p = data(70, 3), FeaturePipeline(specs, ["x", "y"])
+    want = local(rows, p)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = p.transform_spread(df, "k", "t", parts).collect()
+    assert len(got) == len(rows) and got[0].__fields__ == ["k", "t", "x", "y", "note", *p.output_names()]
+    for r in got:
+        same([r[n] for n in p.output_names()], want[r["k"], r["t"]])
+    one = [r for r in rows if r[0] == "k1"]
+    for r in p.transform_spread(spark.createDataFrame(one, SCHEMA), [], "t", parts, keep_input=False).collect():
+        same([r[n] for n in p.output_names()], want["k1", r["t"]])
+    assert p.transform_spread(df.limit(0), "k", "t", parts).collect() == []
+    with pytest.raises(InvalidConfigError):
+        FeaturePipeline([Ema("x", 3, ["e"])], ["x"]).transform_spread(df, "k", "t")
+
+
 def test_empty_null_keys_and_overwrite(spark):
     p = FeaturePipeline([Ema("x", 2, ["e"]), Sma("x", 2, ["m"])], ["x"])
     assert p.transform(spark.createDataFrame([], SCHEMA), "k", "t").collect() == []
