@@ -24,9 +24,15 @@ class RollingZScore(Transform):
     outputs: Sequence[str]
     N_IN: ClassVar = (1, 1)
 
+    WIDEST_PLAN: ClassVar[int] = 32  # see the rolling features
+
     def check(self):
         self.settle("window", whole("window", self.window, 2))
 
+    @property
+    def native(self):
+        return self.window <= self.WIDEST_PLAN
+
     def warm_up_period(self):
         return self.window - 1
 

@@ -71,6 +71,15 @@ def test_arrow_batches_do_not_matter(spark):
         same([r[n] for n in p.output_names()], want[r["k"], r["t"]])
 
 
+def test_wide_frames_go_to_kernels(spark):
+    rows, specs = data(160, 2), [Sma("x", 40, ["a"]), RollingZScore("a", 40, ["b"]), Mma("y", 9, ["m"]), LinearSlope(["y", "x"], 17, ["s", "r"]), SimpleReturn("x", 90, ["q"])]
+    p = FeaturePipeline(specs, ["x", "y"])
+    assert [f.native for f in p.dag.features] == [False, False, False, True, False]
+    want = local(rows, p)
+    for r in p.transform(spark.createDataFrame(rows, SCHEMA), "k", "t").collect():
+        same([r[n] for n in p.output_names()], want[r["k"], r["t"]])
+
+
 def test_one_shuffle_and_no_key(spark):
     df = spark.createDataFrame(data(), SCHEMA)
     p = FeaturePipeline(SPECS, ["x", "y"])
