@@ -20,7 +20,7 @@ from .anchors import runs
 from .common import arrow_schema, row_chunks, stored, utf8_view, word_hashes, words_of, zipped
 
 CHUNK = 1 << 18
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 3 << 20
 
 
 def symbols_of(kind: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

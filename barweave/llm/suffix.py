@@ -20,7 +20,7 @@ from .common import arrow_schema, zipped
 from .repeats import merged, repeated_spans, with_spans
 
 WINDOW, GRAM = 200, 32
-BATCH = 3 << 20
+BATCH = 6 << 20
 
 
 def suffix_ranks(text: np.ndarray, window: int) -> np.ndarray:
@@ -76,22 +76,25 @@ class Level:
 
 
 def merge_scan(a: Level, b: Level, window: int, step: int = 1 << 14) -> None:
-    """Mark the windows that both levels hold. Both sides are sorted, so stretches of one meet stretches of the other."""
+    """Mark the windows that both levels hold.
+
+    Both are sorted, so a stretch of one meets a few stretches of the other; only those are written out as strings.
+    """
     if not len(a.order) or not len(b.order):
         return
     in_a, in_b = np.zeros(len(a.order), bool), np.zeros(len(b.order), bool)
-    whole = None
+    heads = b.windows(window, slice(None, None, step))
+    held, part = -1, heads[:0]
     for x in range(0, len(a.order), step):
         keys = a.windows(window, slice(x, x + step))
-        if whole is None:
-            whole = b.windows(window, slice(None))
-        lo, hi = np.searchsorted(whole, keys[[0, -1]])
-        part = whole[lo : hi + 1]
-        if len(part):
+        lo, hi = (int(y) - 1 for y in np.searchsorted(heads, keys[[0, -1]], "right"))
+        for y in range(max(lo, 0), hi + 1):
+            if y != held:
+                held, part = y, b.windows(window, slice(y * step, (y + 1) * step))
             at = np.minimum(np.searchsorted(part, keys), len(part) - 1)
             hit = part[at] == keys
             in_a[x : x + step] |= hit
-            in_b[lo + at[hit]] = True
+            in_b[y * step + at[hit]] = True
     a.seen |= in_a[a.group]
     b.seen |= in_b[b.group]
 
