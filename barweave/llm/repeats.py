@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import runs
+from .anchors import gram_hashes, runs
 from .common import arrow_schema, row_chunks, stored, utf8_view, word_hashes, words_of, zipped
 
 CHUNK = 1 << 18
@@ -145,10 +145,40 @@ def shard_spans(found: DataFrame, kind: str, window: int, kernel: Kernel, shards
     return dealt.mapInArrow(run, ddl)
 
 
-def repeated_spans(docs: DataFrame, kind: str, window: int, gram: int, kernel: Kernel, keep_first: bool, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def hot_spans(found: DataFrame, kind: str, window: int, keep_first: bool) -> DataFrame:
+    """(uid, s, e) of repeated windows of anchors with very many different contexts: each window meets its equals by hash.
+
+    One row a window (two 64-bit hashes) instead of one a context, but partial aggregates and joins that can be split
+    spread it over any number of tasks.
+    """
+    ddl = "h long, g long, uid long, doc long, s int, many long"
+    made = arrow_schema(ddl)
+    width = np.uint8 if kind == "bytes" else np.uint64
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                symbols = np.frombuffer(batch.column("ctx")[i].as_py(), width)
+                n = len(symbols) - window + 1
+                row = pa.array(np.full(n, i))
+                yield zipped(
+                    made, h=gram_hashes(symbols, window).view(np.int64), g=gram_hashes(symbols.astype(np.uint64) ^ np.uint64(0x5BD1E995), window).view(np.int64),
+                    uid=batch.column("uid").take(row), doc=batch.column("doc").take(row), s=batch.column("lo")[i].as_py() + np.arange(n), many=batch.column("many").take(row),
+                )
+
+    windows = stored(found.mapInArrow(run, ddl), "hot-windows")
+    first = F.min(F.struct("doc", "s", "uid")).alias("first")
+    groups = stored(windows.groupBy("h", "g").agg(F.sum("many").alias("all"), first).filter("all > 1"), "hot-groups")
+    hit = windows.join(groups, ["h", "g"])
+    if keep_first:
+        hit = hit.filter("not (doc <=> first.doc and s = first.s)")
+    return hit.select("uid", "s", (F.col("s") + window).alias("e"))
+
+
+def repeated_spans(docs: DataFrame, kind: str, window: int, gram: int, kernel: Kernel, keep_first: bool, id_col: str = "doc_id", text_col: str = "text", hot_classes: int = 50_000) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): `keyed` documents, and the symbols [s, e) of repeated windows, by uid.
 
-    keep_first: a window's first occurrence (by document, then place; null ids first) does not count as repeated.
+    An anchor with more than `hot_classes` different contexts is not left to one shard. keep_first: a window's first occurrence (by document, then place; null ids first) does not count as repeated.
     """
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
@@ -162,12 +192,15 @@ def repeated_spans(docs: DataFrame, kind: str, window: int, gram: int, kernel: K
     if keep_first:
         settled = settled.filter("not (doc <=> rep.doc and lo = rep.lo)")
     settled = settled.select("uid", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + window).alias("e"))
-    mixed = stored(classes.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("a"), "mixed-anchors")
-    reps = stored(classes.join(mixed, "a", "left_semi").select("a", "many", "rep.*"), "representatives")
-    size = reps.agg(F.sum(F.col("n") + window)).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size * (1 if kind == "bytes" else 8) // SHARD_BYTES))
-    inside = shard_spans(contexts(rows, reps, kind, window), kind, window, kernel, int(shards), keep_first)
-    return rows, settled.union(inside)
+    mixed = stored(classes.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "mixed-anchors")
+    reps = stored(classes.join(mixed, "a").select("a", "many", "k", "rep.*"), "representatives")
+    size, hot = reps.agg(F.sum(F.col("n") + window), F.max("k")).first()
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) * (1 if kind == "bytes" else 8) // SHARD_BYTES))
+    inside = shard_spans(contexts(rows, reps.filter(F.col("k") <= hot_classes), kind, window), kind, window, kernel, int(shards), keep_first)
+    spans = settled.union(inside)
+    if (hot or 0) > hot_classes:
+        spans = spans.union(hot_spans(contexts(rows, reps.filter(F.col("k") > hot_classes), kind, window), kind, window, keep_first))
+    return rows, spans
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:

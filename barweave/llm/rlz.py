@@ -75,14 +75,14 @@ def parse(contexts: list[np.ndarray], window: int) -> list[np.ndarray]:
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = False, hot_classes: int = 50_000) -> DataFrame:
     """Remove every word covered by a `window`-word sequence that also starts earlier.
 
     Earlier: in a document with a smaller id, or in the same one before. Null texts have no words; null ids come
     before all others; rows equal in id and text count as one document and each gets its result. An empty table gives
     an empty result; other columns are not read. With keep_text, the kept words come along, joined by one space.
     """
-    rows, spans = repeated_spans(docs, "words", window, min(GRAM, window), parse, True, id_col, text_col)
+    rows, spans = repeated_spans(docs, "words", window, min(GRAM, window), parse, True, id_col, text_col, hot_classes)
     ddl = KEPT + (", kept string" if keep_text else "")
     made = arrow_schema(ddl)
 

@@ -149,14 +149,14 @@ def scan(contexts: list[np.ndarray], window: int) -> list[np.ndarray]:
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = False, hot_classes: int = 50_000) -> DataFrame:
     """Remove every byte covered by a `window`-byte string that also starts anywhere else.
 
     All occurrences go, the first too; matches do not cross documents. Null texts count as empty; a repeated row counts as another
     document; an empty table gives an empty result; other columns are not read. With keep_text the remaining text
     comes along as `kept` (a character of which any byte goes, goes whole), and the row's `uid`.
     """
-    rows, spans = repeated_spans(docs, "bytes", window, min(GRAM, window), scan, False, id_col, text_col)
+    rows, spans = repeated_spans(docs, "bytes", window, min(GRAM, window), scan, False, id_col, text_col, hot_classes)
     ddl = REMOVED + (", kept string, uid long" if keep_text else "")
     made = arrow_schema(ddl)
 

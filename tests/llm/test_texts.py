@@ -137,9 +137,9 @@ def byte_dedup(texts, w):
     return out
 
 
-@pytest.mark.parametrize("w", [200, 40])
-def test_suffix(docs, texts, none, w):
-    got = suffix.deduplicate(docs, window=w, keep_text=True).collect()
+@pytest.mark.parametrize("w,hot", [(200, 50_000), (40, 50_000), (200, 1)])
+def test_suffix(docs, texts, none, w, hot):
+    got = suffix.deduplicate(docs, window=w, keep_text=True, hot_classes=hot).collect()
     assert bag(tuple(r)[:5] for r in got) == bag(byte_dedup(texts, w))
     for r in got:
         if r["n_removed"] == 0:
@@ -179,9 +179,9 @@ def word_dedup(texts, w):
     return [out[x] for x in texts]
 
 
-@pytest.mark.parametrize("w", [20, 5])
-def test_rlz(docs, texts, none, w):
-    assert bag(tuple(r) for r in rlz.deduplicate(docs, window=w).collect()) == bag(word_dedup(texts, w))
+@pytest.mark.parametrize("w,hot", [(20, 50_000), (5, 50_000), (5, 2)])
+def test_rlz(docs, texts, none, w, hot):
+    assert bag(tuple(r) for r in rlz.deduplicate(docs, window=w, hot_classes=hot).collect()) == bag(word_dedup(texts, w))
     assert rlz.deduplicate(none).collect() == []
 
 
