@@ -208,7 +208,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table = stored(rows.filter(~F.col("held_out")).select("text").mapInArrow(count, ddl).groupBy("w").agg(F.sum("c").alias("c")), "unigrams")
     small = [F.count(F.when(F.col("c") == r, 1)) for r in range(1, LARGE + 2)]
     size = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max(F.when(F.col("w") == F.lit(int(END_WORD)), F.col("c"))), F.lit(0)), *small).first()
-    top = table.orderBy(F.desc("c"), "w").limit(vocabulary).toPandas()  # `vocabulary` rows at most
+    # the most frequent words: first the octave of counts that holds the last of them, so that little is sorted
+    octaves = {int(r["b"]): r["count"] for r in table.groupBy(F.floor(F.log2("c")).alias("b")).count().collect()}  # 64 rows at most
+    least = next((b for b in sorted(octaves, reverse=True) if sum(n for o, n in octaves.items() if o >= b) >= vocabulary), 0)
+    top = table.filter(F.col("c") >= 2**least).orderBy(F.desc("c"), "w").limit(vocabulary).toPandas()  # `vocabulary` rows at most
     words = Unigrams.build(top["w"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), size[0], size[1], size[2], np.array([0, *size[3:]], float))
     shipped = spark.sparkContext.broadcast(words)
 
@@ -318,11 +321,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     few, large, seen = np.zeros((words.k + 2, LARGE + 2)), np.zeros(words.k + 2), np.zeros(words.k + 2)
     few[at, 1:], large[at], seen[at] = sums[names[: LARGE + 1]].to_numpy(float), sums["large"].to_numpy(float), sums["seen"].to_numpy(float)
     model = spark.sparkContext.broadcast(Backoff.build(words, few, large, seen))
-    ddl = "chunk long, i int, s double"
+    ddl = "chunk long, kind int, blob binary"
     summed = arrow_schema(ddl)
 
     def evaluate(batches):
+        """For each chunk a partition's sums for its texts."""
         words, weights = shipped.value, model.value
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for blobs in batch.column(0):
                 first, *rest = (b.as_py() for b in blobs.values)
@@ -333,21 +338,37 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     own, _, many, text, often = grown(blob[8:], 5)
                     value = np.repeat(logs[np.searchsorted(key, np.cumsum(own, dtype=np.uint64))], many.astype(np.int64)) * often
                     s = np.bincount(text.astype(np.int64), value)
-                    there = np.flatnonzero(np.bincount(text.astype(np.int64)))
-                    yield zipped(summed, chunk=[int.from_bytes(blob[:8], "little", signed=True)] * len(there), i=there, s=s[there])
+                    yield zipped(summed, chunk=[int.from_bytes(blob[:8], "little", signed=True)], kind=[0], blob=[squeeze(s.tobytes())])
 
-    sums = bigrams.filter("kind = 0").select("blobs").mapInArrow(evaluate, ddl).groupBy("chunk", "i").agg(F.sum("s").alias("s"))
-    ddl = "chunk long, i int, uid long"
-    listed = arrow_schema(ddl)
+    ddl2 = "uid long, s double"
+    added = arrow_schema(ddl2)
 
-    def unfold(batches):
-        for batch in batches:
-            for chunk, blobs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                uid = np.frombuffer(blobs[0], np.int64)
-                yield zipped(listed, chunk=[chunk] * len(uid), i=np.arange(len(uid)), uid=uid)
+    def gather(batches):
+        """Each text's sum: a chunk's partitions come together, then the texts that it held (once for each equal chunk)."""
+        at, s, lists = None, np.zeros(0), []
+        grow = zstandard.ZstdDecompressor().decompress
+
+        def done():
+            for uid in lists:
+                yield zipped(added, uid=uid, s=np.append(s, np.zeros(len(uid)))[: len(uid)] / len(lists))
 
-    who = bigrams.filter("kind = 2").select("chunk", "blobs").mapInArrow(unfold, ddl)
-    scores = who.join(sums, ["chunk", "i"]).select("uid", *blank, F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), "s")
+        for batch in batches:
+            for chunk, kind, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if chunk != at:
+                    yield from done()
+                    at, s, lists = chunk, np.zeros(0), []
+                if kind:
+                    lists.append(np.frombuffer(blob, np.int64))
+                else:
+                    part = np.frombuffer(grow(blob), np.float64)
+                    s = np.append(s, np.zeros(max(0, len(part) - len(s))))
+                    s[: len(part)] += part
+        yield from done()
+
+    sums = bigrams.filter("kind = 0").select("blobs").mapInArrow(evaluate, ddl)
+    sums = sums.unionAll(bigrams.filter("kind = 2").select("chunk", F.lit(1).alias("kind"), F.col("blobs")[0].alias("blob")))
+    scores = sums.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(gather, ddl2)
+    scores = scores.select("uid", *blank, F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), "s")
     total = plain.unionAll(rare).unionAll(scores).groupBy("uid").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.count("held_out").alias("copies"),
         F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("s").alias("s"),
