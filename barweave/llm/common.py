@@ -152,17 +152,21 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     Byte pairs and their place are scrambled before they are summed, so that the sum is not a
     polynomial that short words could collide in.
     """
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64)
+    out = np.empty(len(starts), np.uint64)
     length = ends - starts
-    which = np.repeat(np.arange(len(starts)), length)
-    place = np.arange(int(length.sum()), dtype=np.int64) - np.repeat(np.cumsum(length) - length, length)
-    byte = data[np.repeat(starts, length) + place].astype(np.uint64)
-    del which
-    with np.errstate(over="ignore"):
-        x = mix64((place.astype(np.uint64) << np.uint64(8)) + byte + np.uint64(seed) * _ODD)
-        total = np.add.reduceat(x, np.cumsum(length) - length)
-        return mix64(total + length.astype(np.uint64) * _ODD)
+    total = np.cumsum(length)
+    a = 0
+    while a < len(starts):  # some 256 KiB at a time, since a byte takes many times its size on the way
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + (1 << 18), "right")))
+        size = length[a:b]
+        first = np.cumsum(size) - size
+        place = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first, size)
+        byte = data[np.repeat(starts[a:b], size) + place].astype(np.uint64)
+        with np.errstate(over="ignore"):
+            x = mix64((place.astype(np.uint64) << np.uint64(8)) + byte + np.uint64(seed) * _ODD)
+            out[a:b] = mix64(np.add.reduceat(x, first) + size.astype(np.uint64) * _ODD)
+        a = b
+    return out
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
