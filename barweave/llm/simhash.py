@@ -100,6 +100,15 @@ class Forest:
             i = up[i]
         return i
 
+    def roots(self, nodes: np.ndarray) -> np.ndarray:
+        """The roots of many nodes, with their paths halved."""
+        up = self.up
+        at = up[nodes]
+        while (up[at] != at).any():
+            at = up[at]
+        up[nodes] = at
+        return at
+
     def join(self, a: int, b: int) -> bool:
         a, b = self.root(a), self.root(b)
         if a == b:
@@ -130,9 +139,16 @@ def tiled_links(left: np.ndarray, right: np.ndarray | None, radius: int, tile: i
                 break  # sorted: all later tiles are farther still
             if least - rp[min(b + tile, len(rf)) - 1] > radius:
                 continue
-            i, j = np.nonzero(np.bitwise_count(x ^ rf[None, b : b + tile]) <= radius)
-            for p, q in zip(lo[a + i].tolist(), ro[b + j].tolist()):
-                if (p != q or not same) and forest.join(p, q if same else len(left) + q):
+            near = np.bitwise_count(x ^ rf[None, b : b + tile]) <= radius
+            if not near.any():
+                continue
+            # one pair for each two trees that meet: among near copies, nearly all pairs are in one tree already
+            mine = forest.roots(lo[a : a + tile])
+            other = forest.roots(ro[b : b + tile] + (0 if same else len(left)))
+            i, j = np.nonzero(near & (mine[:, None] != other[None, :]))
+            _, first = np.unique(mine[i] * len(forest.up) + other[j], return_index=True)
+            for p, q in zip(lo[a + i[first]].tolist(), ro[b + j[first]].tolist()):
+                if forest.join(p, q if same else len(left) + q):
                     found.append((p, q))
     return found
 
