@@ -3,7 +3,8 @@
 Coarse centroids and sub-quantisers are fitted on a bounded sample; every vector is then assigned to the
 list of its nearest centroid and its residual is coded in a few bytes. A query visits the lists of its
 nearest centroids, scores their codes with a table of its own inner products (asymmetric distances),
-and the best of them are ranked anew with the original vectors in double precision.
+and the best of them are ranked anew with the original vectors in double precision. So is every other row whose
+code, with its own error as a bound, doesn't rule out that it belongs to them; within the lists visited the result is exact.
 """
 
 from __future__ import annotations
@@ -67,6 +68,13 @@ class Quantiser:
             out += (q[:, a:b] @ book.T)[:, codes[:, m]]
         return out
 
+    def loss(self, x: np.ndarray, center: int, codes: np.ndarray) -> np.ndarray:
+        """How far each vector of one list lies from what its code stands for: no unit query's inner product with it is off by more."""
+        rest = x - self.centers[center]
+        for m, ((a, b), book) in enumerate(zip(self.stretches, self.books)):
+            rest[:, a:b] -= book[codes[:, m]]
+        return np.sqrt((rest * rest).sum(1))
+
 
 def usable(col: Column) -> Column:
     """Whether a vector takes part: not null, no null or non-finite component, not zero."""
@@ -158,7 +166,8 @@ def search(index: Index, queries: DataFrame, k: int = 5, probes: int | None = No
 
     queries: (id, v), usable. A query visits `probes` lists, and more until they hold more than k rows.
     List and queries meet in groups (list, slice of the list, slice of the queries) of bounded size, so neither
-    a hot list nor many queries burden one task.
+    a hot list nor many queries burden one task. Of each group, `rerank` rows are scored first and then all that their
+    codes don't exclude.
     """
     spark, probes = queries.sparkSession, probes or index.probes
     held = spark.sparkContext.broadcast((index.quantiser, index.sizes))
@@ -198,6 +207,12 @@ def search(index: Index, queries: DataFrame, k: int = 5, probes: int | None = No
         qid, q = col(right, "query_id").to_numpy(), scaled(matrix(col(right, "q")))
         length = np.sqrt((v * v).sum(1))
         center = col(left, "list")[0].as_py()
+        loss = np.concatenate([model.loss(unit(v[a : a + 4096]), center, coded[a : a + 4096]) for a in range(0, len(ids), 4096)]) + 1e-9  # and rounding
+
+        def exact(rows, own_id, own):
+            rows = rows[ids[rows] != own_id]
+            return rows, (v[rows] * own).sum(1) / (length[rows] * np.sqrt((own * own).sum()))
+
         got = [[], [], []]
         step = max(1, (1 << 21) // len(ids))
         for a in range(0, len(qid), step):
@@ -205,9 +220,11 @@ def search(index: Index, queries: DataFrame, k: int = 5, probes: int | None = No
             rough[qid[a : a + step, None] == ids[None, :]] = -np.inf
             top = np.argpartition(-rough, rerank - 1, 1)[:, :rerank] if rerank < len(ids) else np.tile(np.arange(len(ids)), (len(rough), 1))
             for i, near in enumerate(top):
-                near = near[ids[near] != qid[a + i]]
-                own = q[a + i]
-                score = (v[near] * own).sum(1) / (length[near] * np.sqrt((own * own).sum()))
+                near, score = exact(near, qid[a + i], q[a + i])
+                if rerank < len(ids):
+                    # no row whose code could hide a score as high as the k-th so far is left out: ties and copies come in whole
+                    least = np.partition(score, len(score) - k)[-k] if len(score) >= k else -np.inf
+                    near, score = exact(np.union1d(near, np.flatnonzero(rough[i] + loss >= least)), qid[a + i], q[a + i])
                 best = np.lexsort((ids[near], -score))[:k]
                 got[0].append(np.full(len(best), qid[a + i]))
                 got[1].append(ids[near][best])
