@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import re
 import tempfile
 import uuid
 
@@ -25,14 +25,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one named in `spark.checkpoint.dir`; only where that is unset (tests on one
-    machine) a temporary folder takes its place.
+    It is the one named in `spark.checkpoint.dir`; only where that is unset and all runs on one machine (tests),
+    a temporary folder takes its place. On a cluster without it, this is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             found = held.get()
+        elif not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         else:
             found = tempfile.mkdtemp(prefix="barweave-")
             spark.sparkContext.setCheckpointDir(found)
@@ -43,25 +45,29 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back, which cuts its lineage.
 
     The files are replicated by the shared store, so a lost executor costs no recomputation.
-    They are removed when the driver ends.
+    They are removed by `discard`, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _forget(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    atexit.register(_remove, spark, path)
+    return back
 
 
-def _forget(spark: SparkSession, path: str) -> None:
-    def remove():
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session is gone; the folder's owner clears it
-            pass
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by `stored` that nothing will read any more."""
+    for table in tables:
+        _remove(table.sparkSession, table.stored_at)
 
-    atexit.register(remove)
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session is gone; the folder's owner clears it
+        pass
 
 
 def fold(id_col, modulus: int):

@@ -84,12 +84,14 @@ QUERIES = {
 #: The others train, approximate, need hashes that DuckDB lacks, or take quadratic time in SQL: tests/llm has brute force.
 ORACLE_SQL: dict[str, str] = {
     "op9_rlz": r"""
-        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-        starts AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 18, 1))) AS s FROM d),
-        repeated AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY w[s : s + 19] ORDER BY doc_id, s) AS n FROM starts) WHERE n > 1),
-        gone AS (SELECT DISTINCT doc_id, s + o AS p FROM repeated, (SELECT unnest(range(0, 20)) AS o)),
-        words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
-        kept AS (SELECT words.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
-        SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+        WITH u AS (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM documents),
+        d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, t) AS r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM u),
+        starts AS (SELECT r, w, unnest(range(1, greatest(len(w) - 18, 1))) AS s FROM d),
+        repeated AS (SELECT r, s FROM (SELECT r, s, row_number() OVER (PARTITION BY w[s : s + 19] ORDER BY r, s) AS n FROM starts) WHERE n > 1),
+        gone AS (SELECT DISTINCT r, s + o AS p FROM repeated, (SELECT unnest(range(0, 20)) AS o)),
+        words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+        kept AS (SELECT words.r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS k FROM words ANTI JOIN gone USING (r, p) GROUP BY 1)
+        SELECT x.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+        FROM documents AS x JOIN d ON x.doc_id IS NOT DISTINCT FROM d.doc_id AND coalesce(x.text, '') = d.t LEFT JOIN kept USING (r)
     """,
 }

@@ -2,25 +2,35 @@
 
 Anchors of all documents meet by hash; classes of equal context are settled by counting. Of what
 is left, one representative per class brings its symbols to a shard, where the operator's own index
-(suffix arrays, or a relative Lempel-Ziv parse) finds the windows that repeat. All tables between
-are in the shared folder; nothing but counts reaches the driver.
+(a family of suffix arrays, or reference blocks of a relative Lempel-Ziv parse) finds the windows that repeat.
+An anchor with more contexts than a shard should hold is cut by content (`split`), as often as it takes, and its
+parts go the same way. All tables between are in the shared folder; nothing but counts reaches the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import gram_hashes, runs
-from .common import arrow_schema, row_chunks, stored, utf8_view, word_hashes, words_of, zipped
+from .anchors import runs
+from .common import arrow_schema, discard, row_chunks, stored, utf8_view, word_hashes, words_of, zipped
 
 CHUNK = 1 << 18
-SHARD_BYTES = 3 << 20
+#: Bytes of contexts that an index sees at once, and that a task works through, about.
+SHARD_BYTES, TASK_BYTES = 2 << 20, 64 << 20
+#: How finely `split` cuts, round by round.
+STEPS = {"bytes": (16, 4, 1), "words": (4, 1)}
+#: Most contexts of an anchor that a shard takes; more are split by content.
+MOST_CONTEXTS = 4096
+#: Joins and groups on a row of the corpus use both of its hashes, 96 bits.
+ROW = ["uid", "u2"]
 
 
 def symbols_of(kind: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -31,55 +41,64 @@ def symbols_of(kind: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
     return word_hashes(data, starts, ends), np.searchsorted(row, np.arange(len(offsets)))
 
 
+def row_hashes(doc: Column, text: Column) -> list[Column]:
+    """The two hashes that tell rows apart even where ids repeat or are null; rows equal in id and text share them."""
+    doc, text = doc.cast("long"), F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(doc, text), F.hash(text, doc)]
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(uid, doc, text): uid tells rows apart even where ids repeat or are null."""
+    """(uid, u2, doc, text) of every row."""
+    uid, u2 = row_hashes(F.col(id_col), F.col(text_col))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    doc = F.col(id_col).cast("long")
-    return docs.select(F.xxhash64(doc, text).alias("uid"), doc.alias("doc"), text.alias("text"))
+    return docs.select(uid.alias("uid"), u2.alias("u2"), F.col(id_col).cast("long").alias("doc"), text.alias("text"))
 
 
 def anchor_table(rows: DataFrame, kind: str, window: int, gram: int) -> DataFrame:
-    """One row per run of windows with one anchor: uid, doc, anchor, context, lo, n (windows), d (anchor's distance)."""
-    ddl = "uid long, doc long, a long, c long, lo int, n int, d int"
+    """One row per run of windows with one anchor: the document, anchor, context, lo, n (windows), d (anchor's distance)."""
+    ddl = "uid long, u2 int, doc long, a long, c long, lo int, n int, d int"
     made = arrow_schema(ddl)
 
     def run(batches):
         for batch in batches:
-            data, offsets = utf8_view(batch.column(2))
+            data, offsets = utf8_view(batch.column(3))
             for x, y in row_chunks(offsets, CHUNK):
                 symbols, at = symbols_of(kind, data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
                 a, c, row, lo, hi, place = runs(symbols, at, window, gram)
                 if len(a):
                     ids = pa.array(row + x)
-                    yield zipped(made, uid=batch.column(0).take(ids), doc=batch.column(1).take(ids), a=a.view(np.int64), c=c.view(np.int64), lo=lo, n=hi - lo + 1, d=place - lo)
+                    own = {name: batch.column(k).take(ids) for k, name in enumerate(("uid", "u2", "doc"))}
+                    yield zipped(made, **own, a=a.view(np.int64), c=c.view(np.int64), lo=lo, n=hi - lo + 1, d=place - lo)
 
     return rows.mapInArrow(run, ddl)
 
 
 def packed(rows: DataFrame) -> DataFrame:
     """rows with their text compressed, for shuffles."""
-    ddl = "uid long, doc long, z binary"
+    ddl = "uid long, u2 int, doc long, z binary"
     made = arrow_schema(ddl)
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            yield zipped(made, uid=batch.column(0), doc=batch.column(1), z=[squeeze(t.as_buffer()) for t in batch.column(2)])
+            yield zipped(made, uid=batch.column(0), u2=batch.column(1), doc=batch.column(2), z=[squeeze(t.as_buffer()) for t in batch.column(3)])
 
     return rows.mapInArrow(run, ddl)
 
 
+CONTEXT = "a long, uid long, u2 int, doc long, lo int, n int, d int, many long, ctx binary"
+
+
 def contexts(rows: DataFrame, reps: DataFrame, kind: str, window: int) -> DataFrame:
-    """The representatives with their symbols: a, uid, doc, lo, n, many (occurrences of the class), ctx."""
-    wanted = reps.groupBy("uid").agg(F.collect_list(F.struct("a", "lo", "n", "many")).alias("w"))
-    ddl = "a long, uid long, doc long, lo int, n int, many long, ctx binary"
-    made = arrow_schema(ddl)
+    """The representatives with their symbols (CONTEXT; many: occurrences of the class), each once where rows repeat."""
+    wanted = reps.groupBy(*ROW).agg(F.collect_list(F.struct("a", "lo", "n", "d", "many")).alias("w"))
+    made = arrow_schema(CONTEXT)
 
     def run(batches):
         grow = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            names = ("a", "lo", "n", "many")
-            uid, doc, z, w = batch.columns
+            names = ("a", "lo", "n", "d", "many")
+            *own, z, w = batch.columns
             for i in range(batch.num_rows):
                 raw = np.frombuffer(grow(z[i].as_py()), np.uint8)
                 symbols, _ = symbols_of(kind, raw, np.array([0, len(raw)]))
@@ -88,125 +107,148 @@ def contexts(rows: DataFrame, reps: DataFrame, kind: str, window: int) -> DataFr
                 lo, n = part["lo"].to_numpy(), part["n"].to_numpy()
                 ctx = [symbols[x : x + k - 1 + window].tobytes() for x, k in zip(lo.tolist(), n.tolist())]
                 twice = pa.array(np.full(len(lo), i))
-                yield zipped(made, **{k: part[k] for k in names}, uid=uid.take(twice), doc=doc.take(twice), ctx=ctx)
+                yield zipped(made, **{k: part[k] for k in names}, **{k: c.take(twice) for k, c in zip(("uid", "u2", "doc"), own)}, ctx=ctx)
 
-    joined = packed(rows).join(wanted, "uid").select("uid", "doc", "z", "w")
-    return joined.mapInArrow(run, ddl)
+    joined = packed(rows).join(wanted, ROW).dropDuplicates(ROW).select(*ROW, "doc", "z", "w")
+    return joined.mapInArrow(run, CONTEXT)
 
 
-Kernel = Callable[[list[np.ndarray], int], list[np.ndarray]]
+#: kernel(contexts, anchors, distances, window): for all windows of all contexts in order, whether they repeat.
+Kernel = Callable[[list[np.ndarray], np.ndarray, np.ndarray, int], np.ndarray]
+SPAN = "uid long, u2 int, s int, e int"
 
 
-def shard_spans(found: DataFrame, kind: str, window: int, kernel: Kernel, shards: int, all_rows: bool) -> DataFrame:
-    """(uid, s, e) of repeated windows among the contexts that meet in a shard.
+def shard_spans(found: DataFrame, size: int, kind: str, window: int, kernel: Kernel, all_rows: bool) -> DataFrame:
+    """The spans of repeated windows among the contexts that meet in a shard.
 
-    kernel(contexts, window) gives for each context a mask of its windows that repeat. Contexts come in order of
-    anchor, then document and place; one anchor's never part. all_rows: whether classes of several occurrences, already settled,
-    are asked too.
+    Shards are dealt by anchor, so that contexts of one never part; in a shard they come in order of document and
+    place. A task works through many shards. size: bytes of all contexts, about. all_rows: whether classes of several
+    occurrences, already settled, are asked too.
     """
-    ddl = "uid long, s int, e int"
-    made = arrow_schema(ddl)
+    made = arrow_schema(SPAN)
     width = np.uint8 if kind == "bytes" else np.uint64
-
-    def judged(held: pa.Table):
-        ctx = [np.frombuffer(x.as_py(), width) for x in held.column("ctx")]
-        masks = kernel(ctx, window)
-        lo, many = held.column("lo").to_numpy(), held.column("many").to_numpy()
-        at, s, e = [], [], []
-        for i, mask in enumerate(masks):
-            if (many[i] > 1 and not all_rows) or not mask.any():
-                continue
-            edge = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0))
-            at += [i] * (len(edge) // 2)
-            s.append(edge[::2] + lo[i])
-            e.append(edge[1::2] + lo[i] + window - 1)
-        if at:
-            yield zipped(made, uid=held.column("uid").combine_chunks().take(pa.array(at)), s=np.concatenate(s), e=np.concatenate(e))
+    tasks = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    shards = max(8 * tasks, -(-size // SHARD_BYTES))
+
+    def judged(batches):
+        held = pa.Table.from_batches(batches)
+        lo, n, d, many, a = (held.column(x).to_numpy() for x in ("lo", "n", "d", "many", "a"))
+        repeats = kernel([np.frombuffer(x.as_buffer(), width) for x in held.column("ctx")], a, d, window)
+        row = np.repeat(np.arange(len(n)), n)
+        at = np.flatnonzero(repeats & (all_rows | (many[row] == 1)))
+        if len(at):
+            place = lo[row[at]] + at - (np.cumsum(n) - n)[row[at]]
+            new = np.append(True, (np.diff(at) != 1) | (np.diff(row[at]) != 0))
+            last = np.append(np.flatnonzero(new)[1:], len(at)) - 1
+            of = pa.array(row[at[new]])
+            yield zipped(made, uid=held.column("uid").combine_chunks().take(of), u2=held.column("u2").combine_chunks().take(of), s=place[new], e=place[last] + window)
 
     def run(batches):
-        held, size = [], 0
+        held, at = [], None
         for batch in batches:
-            a = batch.column(0).to_numpy()
-            if not len(a):
-                continue
-            cut = int(np.searchsorted(a, a[-1]))  # the last anchor may go on in the next batch
-            if size >= SHARD_BYTES and (cut or held[-1].column(0)[-1].as_py() != a[0]):
-                if cut and held[-1].column(0)[-1].as_py() == a[0]:
-                    held.append(batch.slice(0, cut))
-                    batch = batch.slice(cut)
-                yield from judged(pa.Table.from_batches(held))
-                held, size = [], 0
-            held.append(batch)
-            size += batch.column("ctx").nbytes
+            shard = batch.column(batch.num_columns - 1).to_numpy()
+            edges = np.flatnonzero(np.diff(shard, prepend=-1))
+            for x, y in zip(edges.tolist(), [*edges[1:].tolist(), len(shard)]):
+                if held and shard[x] != at:
+                    yield from judged(held)
+                    held = []
+                at = shard[x]
+                held.append(batch.slice(x, y - x))
         if held:
-            yield from judged(pa.Table.from_batches(held))
+            yield from judged(held)
 
-    dealt = found.repartition(shards, "a").sortWithinPartitions("a", "doc", "lo", "uid")
-    return dealt.mapInArrow(run, ddl)
+    dealt = found.withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards)).cast("int"))
+    return dealt.repartition(int(tasks), "shard").sortWithinPartitions("shard", "doc", *ROW, "lo").mapInArrow(run, SPAN)
 
 
-def hot_spans(found: DataFrame, kind: str, window: int, keep_first: bool) -> DataFrame:
-    """(uid, s, e) of repeated windows of anchors with very many different contexts: each window meets its equals by hash.
+def split(found: DataFrame, kind: str, window: int, step: int) -> DataFrame:
+    """Contexts cut into pieces: runs of windows whose distance from the anchor is the same multiple of `step`.
 
-    One row a window (two 64-bit hashes) instead of one a context, but partial aggregates and joins that can be split
-    spread it over any number of tasks.
+    A piece's new anchor is the hash of what all such windows have in common, which grows to the whole window as `step`
+    falls to one. Equal windows still meet; others part unless they share all but `step` symbols. `c` is the hash of the piece.
     """
-    ddl = "h long, g long, uid long, doc long, s int, many long"
+    ddl = CONTEXT + ", c long"
     made = arrow_schema(ddl)
     width = np.uint8 if kind == "bytes" else np.uint64
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                symbols = np.frombuffer(batch.column("ctx")[i].as_py(), width)
-                n = len(symbols) - window + 1
-                row = pa.array(np.full(n, i))
-                yield zipped(
-                    made, h=gram_hashes(symbols, window).view(np.int64), g=gram_hashes(symbols.astype(np.uint64) ^ np.uint64(0x5BD1E995), window).view(np.int64),
-                    uid=batch.column("uid").take(row), doc=batch.column("doc").take(row), s=batch.column("lo")[i].as_py() + np.arange(n), many=batch.column("many").take(row),
-                )
-
-    windows = stored(found.mapInArrow(run, ddl), "hot-windows")
-    first = F.min(F.struct("doc", "s", "uid")).alias("first")
-    groups = stored(windows.groupBy("h", "g").agg(F.sum("many").alias("all"), first).filter("all > 1"), "hot-groups")
-    hit = windows.join(groups, ["h", "g"])
-    if keep_first:
-        hit = hit.filter("not (doc <=> first.doc and s = first.s)")
-    return hit.select("uid", "s", (F.col("s") + window).alias("e"))
-
-
-def repeated_spans(docs: DataFrame, kind: str, window: int, gram: int, kernel: Kernel, keep_first: bool, id_col: str = "doc_id", text_col: str = "text", hot_classes: int = 50_000) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): `keyed` documents, and the symbols [s, e) of repeated windows, by uid.
-
-    An anchor with more than `hot_classes` different contexts is not left to one shard. keep_first: a window's first occurrence (by document, then place; null ids first) does not count as repeated.
+            out = {name: [] for name in ("row", "a", "c", "lo", "n", "d", "ctx")}
+            names = ("a", "lo", "n", "d", "ctx")
+            for i, (a, lo, n, d, ctx) in enumerate(zip(*(batch.column(x).to_pylist() for x in names))):
+                symbols = np.frombuffer(ctx, width)
+                for b in range((d - n + 1) // step * step, d + 1, step):
+                    far, near = min(d, b + step - 1), max(d - n + 1, b)
+                    piece = symbols[d - far : d - near + window].tobytes()
+                    core = symbols[d - b : d - b - step + 1 + window].tobytes()
+                    key = xxhash.xxh64(a.to_bytes(8, "little", signed=True) + b.to_bytes(4, "little"))
+                    key.update(core)
+                    out["row"].append(i)
+                    out["a"].append(key.intdigest())
+                    out["c"].append(xxhash.xxh64_intdigest(piece, far * 1024 + near))
+                    for name, value in zip(("lo", "n", "d", "ctx"), (lo + d - far, far - near + 1, far, piece)):
+                        out[name].append(value)
+            row = pa.array(out.pop("row"), pa.int64())
+            hashes = {name: np.array(out.pop(name), np.uint64).view(np.int64) for name in ("a", "c")}
+            yield zipped(made, **hashes, **out, **{name: batch.column(name).take(row) for name in ("uid", "u2", "doc", "many")})
+
+    return found.mapInArrow(run, ddl)
+
+
+def refined(hot: DataFrame, kind: str, window: int, most: int, keep_first: bool) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(spans settled, contexts for shards) of contexts whose anchors have more than `most` of them."""
+    spans, calm = [], []
+    for step in [x for x in STEPS[kind] if x < window]:
+        pieces = stored(split(hot, kind, window, step), "pieces")
+        first = F.min(F.struct("doc", *ROW, "lo")).alias("rep")
+        groups = stored(pieces.groupBy("a", "c").agg(F.sum("many").alias("all"), F.count(F.lit(1)).alias("members"), first), "piece-classes")
+        known = pieces.join(groups.filter("members > 1"), ["a", "c"])
+        known = known.filter("not (doc <=> rep.doc and uid = rep.uid and u2 = rep.u2 and lo = rep.lo)") if keep_first else known.filter("many = 1")
+        spans.append(known.select(*ROW, F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + window).alias("e")))
+        mixed = groups.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+        own = groups.join(mixed, "a").select("a", "c", "k", "all", "rep")
+        left = pieces.drop("many").join(own, ["a", "c"]).filter("doc <=> rep.doc and uid = rep.uid and u2 = rep.u2 and lo = rep.lo")
+        left = stored(left.withColumnRenamed("all", "many").select("k", *arrow_schema(CONTEXT).names), "split-contexts")
+        calm.append(left.filter(F.col("k") <= most).drop("k"))
+        hot = left.filter(F.col("k") > most).drop("k")
+        if hot.isEmpty():
+            break
+    return spans, calm  # pieces of one window have one context
+
+
+def repeated_spans(docs: DataFrame, kind: str, window: int, gram: int, kernel: Kernel, keep_first: bool, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = MOST_CONTEXTS) -> tuple[DataFrame, DataFrame]:
+    """(rows, spans): `keyed` documents, and the symbols [s, e) of repeated windows, by row.
+
+    keep_first: a window's first occurrence does not count as repeated. Documents come in order of id, null ids first; those
+    of one id, which differ in text, in order of their hashes. Anchors with more than `most_contexts` different contexts are split.
     """
-    spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
     table = stored(anchor_table(rows, kind, window, gram), "anchors")
     # stored, so that the join's sides are plain shuffles and a hot anchor's rows can be split over tasks
     common = stored(table.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("a"), "common-anchors")
     again = stored(table.join(common, "a", "left_semi"), "shared-anchors")
-    first = F.min(F.struct("doc", "lo", "uid", "n", "d")).alias("rep")
+    discard(table, common)
+    first = F.min(F.struct("doc", *ROW, "lo", "n", "d")).alias("rep")
     classes = stored(again.groupBy("a", "c").agg(F.count(F.lit(1)).alias("many"), first), "classes")
     settled = again.join(classes.filter("many > 1"), ["a", "c"])
     if keep_first:
-        settled = settled.filter("not (doc <=> rep.doc and lo = rep.lo)")
-    settled = settled.select("uid", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + window).alias("e"))
+        settled = settled.filter("not (doc <=> rep.doc and uid = rep.uid and u2 = rep.u2 and lo = rep.lo)")
+    spans = [settled.select(*ROW, F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + window).alias("e"))]
     mixed = stored(classes.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "mixed-anchors")
     reps = stored(classes.join(mixed, "a").select("a", "many", "k", "rep.*"), "representatives")
     size, hot = reps.agg(F.sum(F.col("n") + window), F.max("k")).first()
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) * (1 if kind == "bytes" else 8) // SHARD_BYTES))
-    inside = shard_spans(contexts(rows, reps.filter(F.col("k") <= hot_classes), kind, window), kind, window, kernel, int(shards), keep_first)
-    spans = settled.union(inside)
-    if (hot or 0) > hot_classes:
-        spans = spans.union(hot_spans(contexts(rows, reps.filter(F.col("k") > hot_classes), kind, window), kind, window, keep_first))
-    return rows, spans
+    calm = [contexts(rows, reps.filter(F.col("k") <= most_contexts), kind, window)]
+    if (hot or 0) > most_contexts:
+        known, more = refined(contexts(rows, reps.filter(F.col("k") > most_contexts), kind, window), kind, window, most_contexts, keep_first)
+        spans, calm = spans + known, calm + more
+    inside = shard_spans(reduce(DataFrame.unionByName, calm), (size or 0) * (1 if kind == "bytes" else 8), kind, window, kernel, keep_first)
+    return rows, reduce(DataFrame.union, [*spans, inside])
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """(uid, doc, z, spans): every document, compressed, with its spans (null where it has none)."""
-    own = spans.groupBy("uid").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    return packed(rows).join(own, "uid", "left").select("uid", "doc", "z", "spans")
+    """(uid, u2, doc, z, spans): every document, compressed, with its spans (null where it has none)."""
+    own = spans.groupBy(*ROW).agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    return packed(rows).join(own, ROW, "left").select(*ROW, "doc", "z", "spans")
 
 
 def merged(spans: pa.Array) -> tuple[np.ndarray, np.ndarray]:

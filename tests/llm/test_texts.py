@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from barweave.llm import bpe, katz, ogg, packing, rlz, simhash, suffix
+from barweave.llm import anchors, bpe, katz, ogg, packing, rlz, simhash, suffix
 from barweave.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -137,9 +138,9 @@ def byte_dedup(texts, w):
     return out
 
 
-@pytest.mark.parametrize("w,hot", [(200, 50_000), (40, 50_000), (200, 1)])
+@pytest.mark.parametrize("w,hot", [(200, 4096), (40, 4096), (200, 1), (40, 3)])
 def test_suffix(docs, texts, none, w, hot):
-    got = suffix.deduplicate(docs, window=w, keep_text=True, hot_classes=hot).collect()
+    got = suffix.deduplicate(docs, window=w, keep_text=True, most_contexts=hot).collect()
     assert bag(tuple(r)[:5] for r in got) == bag(byte_dedup(texts, w))
     for r in got:
         if r["n_removed"] == 0:
@@ -179,12 +180,101 @@ def word_dedup(texts, w):
     return [out[x] for x in texts]
 
 
-@pytest.mark.parametrize("w,hot", [(20, 50_000), (5, 50_000), (5, 2)])
+@pytest.mark.parametrize("w,hot", [(20, 4096), (5, 4096), (5, 2), (20, 1)])
 def test_rlz(docs, texts, none, w, hot):
-    assert bag(tuple(r) for r in rlz.deduplicate(docs, window=w, hot_classes=hot).collect()) == bag(word_dedup(texts, w))
+    assert bag(tuple(r) for r in rlz.deduplicate(docs, window=w, most_contexts=hot).collect()) == bag(word_dedup(texts, w))
     assert rlz.deduplicate(none).collect() == []
 
 
+def overlapping(rows_of_one):
+    """Rows that repeat, or share an id, whose passages meet those of other rows at anchors of mixed contexts."""
+    a, b, c = ([f"w{k * k % 91}{name}" for k in range(n)] for name, n in (("a", 100), ("b", 60), ("c", 50)))
+    doc = [" ".join(a), " ".join(b[:30] + a[20:60] + b[30:]), " ".join(a[10:70] + c), " ".join(c[:20] + a[40:] + b[10:40])]
+    return [(1, doc[0])] * rows_of_one + [(2, doc[1]), (3, doc[2])] + [(3, doc[2])] * (rows_of_one - 1) + [(4, doc[3]), (None, doc[1])]
+
+
+@pytest.mark.parametrize("most", [4096, 1])
+def test_repeated_rows(spark, most):
+    for n in (1, 2, 5):
+        rows = overlapping(n)
+        table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = rlz.deduplicate(table, most_contexts=most).collect()
+        assert bag(tuple(r) for r in got) == bag(word_dedup(rows, 20))
+        assert any(r["n_removed"] for r in got) and not any(r["n_removed"] for r in got if r["doc_id"] is None)
+        got = suffix.deduplicate(table, window=60, most_contexts=most).collect()
+        assert bag(tuple(r) for r in got) == bag(byte_dedup(rows, 60))
+
+
+def test_texts_of_one_id(spark):
+    """They are documents of their own, in the order of their hashes; a window at an equal place is removed from the later one only."""
+    texts = [r for _, r in overlapping(1)]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[2]), (1, texts[0] + " tail"), (2, texts[3])]
+    uid = lambda t: struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(t.encode(), xxhash.xxh64_intdigest(struct.pack("<q", 1), 42))))[0]
+    want, seen = Counter(), set()
+    for i, t in sorted(rows, key=lambda x: (x[0], uid(x[1]))):
+        words = WORD.findall(t)
+        gone = set()
+        for k in range(len(words) - 19):
+            key = tuple(words[k : k + 20])
+            gone |= set(range(k, k + 20)) if key in seen else set()
+            seen.add(key)
+        want[i, len(words), len(gone)] += 1
+    for most in (4096, 1):
+        got = rlz.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), most_contexts=most)
+        assert Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in got.collect()) == want
+
+
+def test_sql_of_rlz(spark):
+    import duckdb
+
+    from barweave.llm.queries import ORACLE_SQL
+
+    rows = [*overlapping(3), (7, None), (8, "")]
+    base = duckdb.connect()
+    base.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    base.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = rlz.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert bag(map(tuple, got)) == bag(base.execute(ORACLE_SQL["op9_rlz"]).fetchall())
+
+
+def test_family_of_a_shard(monkeypatch):
+    """A shard's contexts come in several batches, whose levels merge; the result is that of all windows."""
+    rng = np.random.default_rng(9)
+    block = rng.integers(0, 4, 400).astype(np.uint8)
+    w, made = 40, []
+    parts = [np.concatenate([rng.integers(0, 4, rng.integers(0, 25)).astype(np.uint8), block[a : a + 60], rng.integers(0, 2, rng.integers(0, 25)).astype(np.uint8)]) for a in rng.integers(0, 340, 300)]
+    ctx, at, key = [], [], []
+    for p in parts:
+        a, _, _, lo, hi, place = anchors.runs(p, np.array([0, len(p)]), w, 8)
+        ctx += [p[x : y + w] for x, y in zip(lo, hi)]
+        at += (place - lo).tolist()
+        key += a.view(np.int64).tolist()
+
+    class Watched(suffix.SuffixFamily):
+        def __init__(self, window):
+            super().__init__(window)
+            made.append(self)
+
+    monkeypatch.setattr(suffix, "SuffixFamily", Watched)
+    monkeypatch.setattr(suffix, "BATCH", 16)
+    got = suffix.scan(ctx, np.array(key), np.array(at), w)
+    seen = Counter(c[k : k + w].tobytes() for c in ctx for k in range(len(c) - w + 1))
+    assert got.tolist() == [seen[c[k : k + w].tobytes()] > 1 for c in ctx for k in range(len(c) - w + 1)]
+    assert 0 < got.sum() < len(got) and made[0].merges > 10
+    for _, level, n in made[0].levels:  # each array is sorted and holds every context of its batches
+        for part in (level.right, level.left):
+            assert len(part.of) == n and (suffix.strings(part.rows)[1:] >= suffix.strings(part.rows)[:-1]).all()
+    monkeypatch.setattr(rlz, "BLOCK", 16)
+    words = [np.frombuffer(c, np.uint8).astype(np.uint64) for c in ctx]
+    first: set = set()
+    want = []
+    for c in ctx:
+        for k in range(len(c) - w + 1):
+            want.append(c[k : k + w].tobytes() in first)
+            first.add(c[k : k + w].tobytes())
+    assert rlz.parse(words, np.array(key), np.array(at), w).tolist() == want
+
+
 # -- SimHash -------------------------------------------------------------------------------------------
 
 
