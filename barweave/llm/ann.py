@@ -10,6 +10,7 @@ code, with its own error as a bound, doesn't rule out that it belongs to them; w
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,37 +41,58 @@ def nearest(x: np.ndarray, centers: np.ndarray, step: int = 4096) -> np.ndarray:
 
 @dataclass
 class Quantiser:
-    """Coarse centroids, and for each stretch of dimensions the residuals' centroids."""
+    """Coarse centroids in two levels, and for each stretch of dimensions the residuals' centroids.
 
-    centers: np.ndarray
+    A list is a coarse centroid and one of the `inner` centroids of all residuals, so that a few thousand centroids make
+    as many lists as the table needs.
+    """
+
+    outer: np.ndarray
+    inner: np.ndarray
     books: list[np.ndarray]
     stretches: list[tuple[int, int]]
 
+    @property
+    def centers(self) -> np.ndarray:
+        """The centre of each list."""
+        return (self.outer[:, None, :] + self.inner[None, :, :]).reshape(-1, self.outer.shape[1])
+
     @staticmethod
-    def fit(x: np.ndarray, lists: int, parts: int, codes: int) -> Quantiser:
+    def fit(x: np.ndarray, lists: int, inner: int, parts: int, codes: int) -> Quantiser:
         d = x.shape[1]
         parts = max(1, min(parts, d))
         edges = [d * k // parts for k in range(parts + 1)]
-        centers = kmeans(x, lists)
-        rest = x - centers[nearest(x, centers)]
+        outer = kmeans(x, lists)
+        rest = x - outer[nearest(x, outer)]
+        within = kmeans(rest, inner, seed=5) if inner > 1 else np.zeros((1, d))
+        rest = rest - within[nearest(rest, within)]
         cuts = list(zip(edges, edges[1:]))
-        return Quantiser(centers, [kmeans(rest[:, a:b], codes, seed=11 + a) for a, b in cuts], cuts)
+        return Quantiser(outer, within, [kmeans(rest[:, a:b], codes, seed=11 + a) for a, b in cuts], cuts)
+
+    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The list of each vector, and what its centre leaves of it."""
+        own = nearest(x, self.outer)
+        rest = x - self.outer[own]
+        within = nearest(rest, self.inner)
+        return own * len(self.inner) + within, rest - self.inner[within]
+
+    def center(self, of: int) -> np.ndarray:
+        return self.outer[of // len(self.inner)] + self.inner[of % len(self.inner)]
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = nearest(x, self.centers)
-        rest = x - self.centers[own]
+        own, rest = self.assign(x)
         return own, np.stack([nearest(rest[:, a:b], book).astype(np.uint8) for (a, b), book in zip(self.stretches, self.books)], 1)
 
     def approximate(self, q: np.ndarray, center: int, codes: np.ndarray) -> np.ndarray:
         """Inner products of every query with every coded vector of one list, from distance tables."""
-        out = np.repeat((q @ self.centers[center])[:, None], len(codes), 1)
+        out = np.repeat((q @ self.center(center))[:, None], len(codes), 1)
         for m, ((a, b), book) in enumerate(zip(self.stretches, self.books)):
             out += (q[:, a:b] @ book.T)[:, codes[:, m]]
         return out
 
     def loss(self, x: np.ndarray, center: int, codes: np.ndarray) -> np.ndarray:
         """How far each vector of one list lies from what its code stands for: no unit query's inner product with it is off by more."""
-        rest = x - self.centers[center]
+        rest = x - self.center(center)
         for m, ((a, b), book) in enumerate(zip(self.stretches, self.books)):
             rest[:, a:b] -= book[codes[:, m]]
         return np.sqrt((rest * rest).sum(1))
@@ -123,27 +145,42 @@ def probes_for(x: np.ndarray, model: Quantiser, recall: float, k: int = 5, queri
     order = np.argsort(-(q @ model.centers.T), 1, kind="stable")
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), 1)
-    needed = np.sort(np.take_along_axis(place, nearest(x, model.centers)[top], 1).ravel())
+    needed = np.sort(np.take_along_axis(place, model.assign(x)[0][top], 1).ravel())
     return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1
 
 
-def build(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", sample_rows: int = 20000, lists: int | None = None, parts: int = 16, codes: int = 256, recall: float = 0.98) -> Index | None:
-    """Index all usable vectors. Fitted on the `sample_rows` rows at most with the smallest id hash.
-
-    `lists` is by default half the root of the number of rows, 1024 at most. Vectors of another length than
-    the most frequent one (the shorter, on a tie) take no part. None without any usable vector.
-    """
+def vectors_of(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(id, v) of all usable vectors with an id, one for each id: of several the one whose components come first in order."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     rows = rows.filter(F.col("id").isNotNull() & usable(F.col("v")))
+    again = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
+    if again.isEmpty():  # only ids were shuffled
+        return rows
+    again = stored(again, "repeated-ids")
+    return rows.join(again, "id", "left_anti").unionByName(rows.join(again, "id", "left_semi").groupBy("id").agg(F.min("v").alias("v")))
+
+
+def build(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", **settings) -> Index | None:
+    """Index all usable vectors of the most frequent length (the shorter, on a tie); see `fit`. None without any."""
+    rows = vectors_of(vectors, id_col, vec_col)
     found = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    if found is None:
-        return None
-    rows = rows.filter(F.size("v") == found["d"])
+    return None if found is None else fit(rows.filter(F.size("v") == found["d"]), found["n"], **settings)
+
+
+def fit(rows: DataFrame, size: int, sample_rows: int = 20000, lists: int | None = None, list_rows: int = 4096, parts: int = 16, codes: int = 256, recall: float = 0.98) -> Index:
+    """Index `size` rows (id, v) of equal length. Fitted on the `sample_rows` rows at most with the smallest id hash.
+
+    By default as many coarse centroids as half the root of the number of rows, 1024 at most, and as many inner ones (256 at most)
+    as leave about `list_rows` rows to a list.
+    """
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    near_enough = rows.filter(draw < int(min(1.0, 1.2 * sample_rows / found["n"]) * (1 << 30)))  # so that no more reaches the driver
+    near_enough = rows.filter(draw < int(min(1.0, 1.2 * sample_rows / size) * (1 << 30)))  # so that no more reaches the driver
     sample = near_enough.orderBy(draw, "id").limit(sample_rows).select("v").toPandas()
+    if not len(sample):  # a small table without a row in that range
+        sample = rows.orderBy(draw, "id").limit(sample_rows).select("v").toPandas()
     x = unit(np.stack(sample["v"].to_numpy()).astype(np.float64))
-    model = Quantiser.fit(x, lists or max(1, min(1024, round(found["n"] ** 0.5 / 2))), parts, codes)
+    lists = lists or max(1, min(1024, round(size**0.5 / 2)))
+    model = Quantiser.fit(x, lists, max(1, min(256, -(-size // (lists * list_rows)))), parts, codes)
     held = rows.sparkSession.sparkContext.broadcast(model)
     ddl = "id long, list int, codes binary, v array<double>"
     made = arrow_schema(ddl)
@@ -155,7 +192,7 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
                 yield zipped(made, id=batch.column(0), list=own, codes=[c.tobytes() for c in coded], v=batch.column(1).cast(made.field("v").type))
 
     table = stored(rows.mapInArrow(assign, ddl), "ivf")
-    sizes = np.zeros(len(model.centers), np.int64)
+    sizes = np.zeros(len(model.outer) * len(model.inner), np.int64)
     for r in table.groupBy("list").count().collect():  # a row a list
         sizes[r["list"]] = r["count"]
     return Index(model, table, sizes, probes_for(x, model, recall))
@@ -165,14 +202,12 @@ def search(index: Index, queries: DataFrame, k: int = 5, probes: int | None = No
     """(query_id, rank, vec_id, score): each query's k nearest by cosine, its own id left out.
 
     queries: (id, v), usable. A query visits `probes` lists, and more until they hold more than k rows.
-    List and queries meet in groups (list, slice of the list, slice of the queries) of bounded size, so neither
-    a hot list nor many queries burden one task. Of each group, `rerank` rows are scored first and then all that their
+    List and queries meet in groups (list, slice of the list, slice of its queries) of bounded size, so neither
+    a hot list nor many queries burden one task; a row is copied only as often as the queries of its own list have slices. Of each group, `rerank` rows are scored first and then all that their
     codes don't exclude.
     """
     spark, probes = queries.sparkSession, probes or index.probes
     held = spark.sparkContext.broadcast((index.quantiser, index.sizes))
-    slices = np.maximum(1, -(-index.sizes // slice_rows))
-    n_queries = queries.count()
     visits = "query_id long, list int, q array<double>"
     made = arrow_schema(visits)
 
@@ -181,19 +216,24 @@ def search(index: Index, queries: DataFrame, k: int = 5, probes: int | None = No
         for batch in batches:
             if not batch.num_rows:
                 continue
-            q = unit(matrix(batch.column(1)))
-            order = np.argsort(-(q @ model.centers.T), 1, kind="stable")
-            many = (np.cumsum(sizes[order], 1) <= k).sum(1) + 1
-            many = np.minimum(np.maximum(many, probes), order.shape[1])
-            which = np.repeat(np.arange(len(q)), many)
-            lists = order[which, np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)]
-            yield zipped(made, query_id=batch.column(0).take(pa.array(which)), list=lists, q=batch.column(1).cast(made.field("q").type).take(pa.array(which)))
-
-    q_slices = max(1, -(-n_queries // slice_rows))
-    at = F.element_at(F.array(*[F.lit(int(x)) for x in slices]), F.col("list") + 1)
-    asked = queries.mapInArrow(visit, visits).withColumn("qs", F.pmod(F.xxhash64("query_id"), F.lit(q_slices)).cast("int"))
-    asked = asked.withColumn("ls", F.explode(F.sequence(F.lit(0), at - 1)))
-    rows = index.table.withColumn("ls", F.pmod(F.xxhash64("id"), at).cast("int")).withColumn("qs", F.explode(F.sequence(F.lit(0), F.lit(q_slices - 1))))
+            centers = model.centers
+            for a in range(0, batch.num_rows, step := max(1, (1 << 22) // len(centers))):
+                part = batch.slice(a, step)
+                q = unit(matrix(part.column(1)))
+                order = np.argsort(-(q @ centers.T), 1, kind="stable")
+                many = (np.cumsum(sizes[order], 1) <= k).sum(1) + 1
+                many = np.minimum(np.maximum(many, probes), order.shape[1])
+                which = np.repeat(np.arange(len(q)), many)
+                lists = order[which, np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)]
+                yield zipped(made, query_id=part.column(0).take(pa.array(which)), list=lists, q=part.column(1).cast(made.field("q").type).take(pa.array(which)))
+
+    asked = stored(queries.mapInArrow(visit, visits), "visits")
+    per_list = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / slice_rows).cast("int").alias("q_slices"))  # a row a list
+    per_list = stored(per_list.join(index.table.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / slice_rows).cast("int").alias("l_slices")), "list"), "list-slices")
+    asked = asked.join(per_list, "list").withColumn("qs", F.pmod(F.xxhash64("query_id"), F.col("q_slices")).cast("int"))
+    asked = asked.withColumn("ls", F.explode(F.sequence(F.lit(0), F.col("l_slices") - 1))).drop("q_slices", "l_slices")
+    rows = index.table.join(per_list, "list").withColumn("ls", F.pmod(F.xxhash64("id"), F.col("l_slices")).cast("int"))
+    rows = rows.withColumn("qs", F.explode(F.sequence(F.lit(0), F.col("q_slices") - 1))).select("id", "list", "codes", "v", "ls", "qs")
     ddl = "query_id long, vec_id long, score double"
     out = arrow_schema(ddl)
 
@@ -238,8 +278,14 @@ def search(index: Index, queries: DataFrame, k: int = 5, probes: int | None = No
 
 
 def neighbours(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
-    """The k nearest rows of each row whose vec_id is divisible by `every`; empty without usable vectors."""
-    index = build(vectors)
-    if index is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return search(index, index.table.filter(F.col("id") % every == 0).select("id", "v"), k)
+    """The k nearest rows of each row whose vec_id is divisible by `every`; empty without usable vectors.
+
+    Vectors are compared with those of their own length, since others have no cosine with them. Null ids take no part; rows
+    of one id count as one vector (`vectors_of`). Other columns are not read.
+    """
+    rows = vectors_of(vectors)
+    found = []
+    for r in rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect():  # a row a length
+        index = fit(rows.filter(F.size("v") == r["d"]), r["n"])
+        found.append(search(index, index.table.filter(F.col("id") % every == 0).select("id", "v"), k))
+    return reduce(DataFrame.unionAll, found, vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double"))

@@ -166,3 +166,29 @@ def test_fold(spark, mod):
 
     df = spark.range(300).withColumn("f", fold(F.col("id"), mod))
     assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % mod for r in df.collect())
+
+
+def test_repeated_ids_and_lengths(spark):
+    """Rows of one id are one vector; vectors meet those of their own length; many lists of two levels lose nothing when all are visited."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(i, x[i].tolist()) for i in range(0, 300, 7)] + [(50, (x[50] + 1).tolist()), (3, (x[3] - 1).tolist())]
+    short = rng.normal(size=(40, 4))
+    rows += [(1000 + i, v.tolist()) for i, v in enumerate(short)] + [(2000, [1.0]), (None, x[0].tolist())]
+    one: dict = {}
+    for i, v in rows:
+        one[i] = min(one.get(i, v), v)
+    one.pop(None)
+    want = []
+    for i, v in one.items():
+        others = [(-float(np.dot(v, w) / np.sqrt(np.dot(v, v) * np.dot(w, w))), j) for j, w in one.items() if j != i and len(w) == len(v)]
+        want += [(i, r + 1, j, round(-s, 9)) for r, (s, j) in enumerate(sorted(others)[:5])] if i % 50 == 0 else []
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann.neighbours(table).collect()]
+    found = {r[:3] for r in got} & {r[:3] for r in want}
+    assert len(got) == len(set(got)) == len(want) and len(found) >= 0.95 * len(want)
+    index = ann.build(table, lists=3, list_rows=10)
+    assert len(index.quantiser.inner) > 5 and len(index.sizes) == 3 * len(index.quantiser.inner) and index.sizes.sum() == 300
+    queries = index.table.filter("id % 50 = 0").select("id", "v")
+    got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann.search(index, queries, probes=len(index.sizes), slice_rows=4).collect()]
+    assert sorted(got) == sorted(r for r in want if r[0] < 1000)
