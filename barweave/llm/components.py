@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -38,7 +38,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     e = stored(e, "edges")
     before = None
     for _ in range(rounds):
-        e = stored(_star(_star(e, True), False), "edges")
+        e, last = stored(_star(_star(e, True), False), "edges"), e
+        discard(last)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(now) == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

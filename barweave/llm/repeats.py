@@ -26,9 +26,9 @@ CHUNK = 1 << 18
 #: Bytes of contexts that an index sees at once, and that a task works through, about.
 SHARD_BYTES, TASK_BYTES = 2 << 20, 64 << 20
 #: How finely `split` cuts, round by round.
-STEPS = {"bytes": (16, 4, 1), "words": (4, 1)}
+STEPS = {"bytes": (64, 16, 4, 1), "words": (4, 1)}
 #: Most contexts of an anchor that a shard takes; more are split by content.
-MOST_CONTEXTS = 4096
+MOST_CONTEXTS = 1 << 14
 #: Joins and groups on a row of the corpus use both of its hashes, 96 bits.
 ROW = ["uid", "u2"]
 
@@ -242,7 +242,9 @@ def repeated_spans(docs: DataFrame, kind: str, window: int, gram: int, kernel: K
         known, more = refined(contexts(rows, reps.filter(F.col("k") > most_contexts), kind, window), kind, window, most_contexts, keep_first)
         spans, calm = spans + known, calm + more
     inside = shard_spans(reduce(DataFrame.unionByName, calm), (size or 0) * (1 if kind == "bytes" else 8), kind, window, kernel, keep_first)
-    return rows, reduce(DataFrame.union, [*spans, inside])
+    found = stored(reduce(DataFrame.union, [*spans, inside]), "spans")
+    discard(again, classes, mixed, reps)
+    return rows, found
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:

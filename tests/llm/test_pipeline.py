@@ -1,10 +1,9 @@
-"""The corpus pipeline: each deterministic stage against brute force on its own input, and the whole."""
+"""The corpus pipeline: each deterministic stage against brute force on its own input, and the whole; near-duplicates are in test_jaccard.py."""
 
 import re
 from collections import Counter
 
 import pytest
-import xxhash
 
 import __spark_entry__
 import corpus_pipeline
@@ -41,27 +40,6 @@ def test_clean_documents_stay(spark, stages):
     assert stages[2].join(bad, "doc_id").count() <= 0.2 * stages[0].join(bad, "doc_id").count()
 
 
-def fingerprint(text):
-    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    hs = [xxhash.xxh64_intdigest(" ".join(w[k : k + 5]).encode(), 42) for k in range(max(1, len(w) - 4))] if w else []
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
-
-
-def test_near_duplicates_by_brute_force(stages):
-    rows = sorted((r["doc_id"], fingerprint(r["text"])) for r in stages[2].collect())
-    up = {i: i for i, _ in rows}
-
-    def root(i):
-        return i if up[i] == i else root(up[i])
-
-    for a, (i, f) in enumerate(rows):
-        for j, g in rows[:a]:
-            if (f ^ g).bit_count() <= 4:
-                x, y = root(i), root(j)
-                up[max(x, y)] = min(x, y)
-    assert sorted(r["doc_id"] for r in stages[3].collect()) == [i for i in up if root(i) == i]
-
-
 def test_repeats_by_brute_force(stages):
     raws = {r["doc_id"]: (r["text"] or "").encode() for r in stages[3].collect()}
     seen = Counter(hash(t[k : k + 200]) for t in raws.values() for k in range(len(t) - 199))
