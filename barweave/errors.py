@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 
-class EngineError(ValueError):
-    """Base of all errors of this package."""
+class EngineError(Exception):
+    """Base of all errors of this package; no ValueError, so a handler of those does not catch it."""
 
 
 class InvalidConfigError(EngineError):

@@ -7,7 +7,11 @@ from ..operators.base import Transform
 
 
 class FeatureDag:
-    """Orders features by the names that they read and write; declaration order holds inside a level."""
+    """Orders features by the names that they read and write.
+
+    Inside a level a feature comes where the last of those that it reads from comes in the level before;
+    declaration order holds among features that wait for the same one.
+    """
 
     def __init__(self, features: list[Transform]):
         writer: dict[str, int] = {}
@@ -26,10 +30,14 @@ class FeatureDag:
                 raise CyclicDependencyError(f"these need each other: {stuck!r}")
             for i in ready:
                 depth[i] = 1 + max((depth[p] for p in self.parents[i]), default=-1)
-        self.order = sorted(range(len(features)), key=lambda i: (depth[i], i))
+        place: dict[int, int] = {}
+        for d in sorted(set(depth.values())):
+            level = [i for i in range(len(features)) if depth[i] == d]
+            for i in sorted(level, key=lambda i: (max((place[p] for p in self.parents[i]), default=0), i)):
+                place[i] = len(place)
+        self.order = list(place)
         self.features = [features[i] for i in self.order]
         self.depth = [depth[i] for i in self.order]
-        place = {i: k for k, i in enumerate(self.order)}
         self.parents = [[place[p] for p in self.parents[i]] for i in self.order]
         self.writer = {n: place[i] for n, i in writer.items()}
 

@@ -29,8 +29,8 @@ SERIES = """
     CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN 0.0 WHEN event_id % 17 = 0 THEN -value ELSE value / 500 END AS u
 """
 BARS_SQL = """
-    SELECT event_type, time_bucket(INTERVAL 30 MINUTE, ts) AS time, arg_min(value, ts) AS open, max(value) AS high,
-        min(value) AS low, arg_max(value, ts) AS close, CAST(count(value) AS DOUBLE) AS volume
+    SELECT event_type, time_bucket(INTERVAL 30 MINUTE, ts) AS time, arg_min(value, (ts, event_id)) AS open, max(value) AS high,
+        min(value) AS low, arg_max(value, (ts, event_id)) AS close, CAST(count(value) AS DOUBLE) AS volume
     FROM events WHERE value IS NOT NULL GROUP BY ALL
 """
 #: Bars with some that are no valid bar: high below low, or a null.
@@ -48,7 +48,7 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = bars_from_ticks(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "ts", "value", "30 minutes")
+    made = bars_from_ticks(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "ts", "value", "30 minutes", "event_id")
     return made.selectExpr(*[c.strip() for c in _split(SPOILT)])
 
 
@@ -231,6 +231,80 @@ feature(
 )
 
 
+#: Series by event type, long enough for windows of 200, with few nulls.
+LONG = """
+    event_id, event_type, ts,
+    CASE WHEN event_id % 1499 = 0 THEN NULL ELSE value END AS x,
+    CASE WHEN event_id % 1999 = 0 THEN NULL ELSE CAST(event_id * 37 % 101 AS DOUBLE) END AS y,
+    CASE WHEN event_id % 4000 < 900 THEN 5.0 ELSE CAST(event_id * 53 % 7 AS DOUBLE) END AS z,
+    CASE WHEN event_id % 1733 = 0 THEN 0.0 ELSE value / 500 END AS u
+"""
+
+
+def long_feature(name: str, spec, sql: str, target: bool = False) -> None:
+    """Register a transform over the long series; sql as for `feature`."""
+    columns = spec.input_names()
+    pipeline = (TargetPipeline if target else FeaturePipeline)([spec], columns)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*[c.strip() for c in _split(LONG)])
+        return rounded(pipeline.transform(rows, "event_type", ORDER), pipeline.output_names(), ["event_id", "event_type"])
+
+    QUERIES[name] = run
+    body = (sql if sql.lstrip().upper().startswith(("SELECT", "WITH")) else f"SELECT event_id, user_id, {sql} FROM s").replace("user_id", "event_type")
+    ORACLE_SQL[name] = f"WITH s AS (SELECT {LONG} FROM events), out AS ({body}) " + rounded_sql(pipeline.output_names(), ["event_id", "event_type"], "SELECT * FROM out")
+
+
+def moment_sql(moment: str, w: int) -> str:
+    return f"CASE WHEN count(z) OVER {over(w)} = {w} AND max(z) OVER {over(w)} > min(z) OVER {over(w)} THEN {moment}(z) OVER {over(w)} END AS o"
+
+
+def adf_trend_sql(w: int) -> str:
+    """Level and difference without their trends, then one regressor; the degrees of freedom count all three."""
+    f = over(w - 1)
+    parts = ", ".join(f"regr_{k}({b}, {a}) OVER {f} AS {n}" for n, k, b, a in (("ll", "sxx", "d", "l"), ("dd", "syy", "d", "l"), ("ld", "sxy", "d", "l"), ("tt", "sxx", "d", "rn"), ("td", "sxy", "d", "rn"), ("tl", "sxy", "l", "rn")))
+    return f"""
+        SELECT event_id, user_id, stat, p FROM (
+        WITH a AS (SELECT *, {lagged('x', 1)} AS l, x - {lagged('x', 1)} AS d, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::DOUBLE AS rn FROM s),
+        b AS (SELECT *, count(x) OVER {over(w)} AS n, {parts} FROM a),
+        c AS (SELECT *, ll - tl * tl / tt AS xx, dd - td * td / tt AS yy, ld - tl * td / tt AS xy FROM b),
+        e AS (SELECT event_id, user_id, CASE WHEN n = {w} AND xx > 1e-9 AND yy - xy * xy / xx > 1e-9 THEN xy / xx / sqrt((yy - xy * xy / xx) / {w - 4} / xx) END AS stat FROM c),
+        g AS (SELECT *, {table_sql('ct')} AS t, least(43, greatest(0, floor((stat + 6) / 0.2::DOUBLE)))::BIGINT AS i FROM e)
+        SELECT event_id, user_id, stat, CASE WHEN stat <= -6 THEN t[1] WHEN stat >= 2.8 THEN t[45] ELSE t[i + 1] + (stat - (-6 + 0.2::DOUBLE * i)) / 0.2::DOUBLE * (t[i + 2] - t[i + 1]) END AS p FROM g)
+    """
+
+
+def entropy_sql(w: int, bins: int, scale: str) -> str:
+    return f"""
+        SELECT event_id, user_id, o FROM ({FRAMES.format(a='z', b='z', w=w, source='s')},
+        h AS (SELECT f.event_id, a, min(a) OVER (PARTITION BY event_id) AS lo, max(a) OVER (PARTITION BY event_id) AS hi FROM f SEMI JOIN g USING (event_id)),
+        k AS (SELECT event_id, CASE WHEN hi = lo THEN 0 ELSE least(floor((a - lo) / (hi - lo) * {bins}), {bins - 1}) END AS bin, count(*) / {w}.0::DOUBLE AS p FROM h GROUP BY 1, 2),
+        v AS (SELECT event_id, -sum(p * ln(p)) / {scale} AS o FROM k GROUP BY 1)
+        SELECT s.event_id, s.user_id, o FROM s LEFT JOIN v USING (event_id))
+    """
+
+
+long_feature("sma_200", Sma("x", 200, ["o"]), whole("x IS NOT NULL", 200, f"avg(x) OVER {over(200)}") + " AS o")
+long_feature("mma_200", Mma("x", 200, ["o"]), whole("x IS NOT NULL", 200, f"median(x) OVER {over(200)}") + " AS o")
+long_feature("linear_slope_200", LinearSlope(["y", "z"], 200, ["slope", "fit"]), regression_sql("y", "z", 200, over(200), "slope", "fit"))
+long_feature("skewness_200", Skewness("z", 200, ["o"]), moment_sql("skewness", 200))
+long_feature("kurtosis_200", Kurtosis("z", 200, ["o"]), moment_sql("kurtosis", 200))
+long_feature("rolling_zscore_200", RollingZScore("z", 200, ["o"]), f"CASE WHEN count(z) OVER {over(200)} = 200 AND max(z) OVER {over(200)} > min(z) OVER {over(200)} THEN (z - avg(z) OVER {over(200)}) / stddev_samp(z) OVER {over(200)} END AS o")
+long_feature("correlation_pearson_200", Correlation(["y", "z"], 200, ["o"]), pearson_sql("y", "z", 200))
+long_feature("correlation_spearman_60", Correlation(["y", "z"], 60, ["o"], "spearman"), spearman_sql("y", "z", 60))
+long_feature("correlation_kendall_30", Correlation(["y", "z"], 30, ["o"], "kendall"), kendall_sql("y", "z", 30))
+long_feature("autocorrelation_200", AutoCorrelation("z", 200, ["o"]), pearson_sql("z", "l", 200, f"(SELECT *, {lagged('z', 1)} AS l FROM s)"))
+LATE_CTE = f"SELECT * FROM (WITH s0 AS (SELECT * FROM s), s AS (SELECT *, {lagged('z', 2)} AS l FROM s0) "
+long_feature("autocorrelation_spearman", AutoCorrelation("z", 20, ["o"], lag=2, method="spearman"), LATE_CTE + spearman_sql("z", "l", 20) + ")")
+long_feature("autocorrelation_kendall", AutoCorrelation("z", 20, ["o"], lag=2, method="kendall"), LATE_CTE + kendall_sql("z", "l", 20) + ")")
+long_feature("shannon_entropy_default", ShannonEntropy("z", 60, ["o"]), entropy_sql(60, 7, "ln(7.0)"))
+long_feature("shannon_entropy_plain", ShannonEntropy("z", 60, ["o"], bins=5, normalize=False), entropy_sql(60, 5, "1"))
+long_feature("adf_trend_200", Adf("x", 200, ["stat", "p"], lags=0, regression="ct"), adf_trend_sql(200))
+long_feature("future_linear_slope_200", FutureLinearSlope(["y", "z"], 200, ["slope", "fit"]), regression_sql("y", "z", 200, over(200, "CURRENT ROW", "199 FOLLOWING"), "slope", "fit"), True)
+FAR = over(200, "1 FOLLOWING", "200 FOLLOWING")
+long_feature("future_ctc_volatility_200", FutureCTCVolatility("u", 200), f"SELECT event_id, user_id, CASE WHEN count(r) OVER {FAR} = 200 THEN stddev_samp(r) OVER {FAR} END AS u_future_ctc_vol_200 FROM (SELECT *, CASE WHEN u > 0 AND p > 0 THEN ln(u / p) END AS r FROM (SELECT *, {lagged('u', 1)} AS p FROM s))", True)
+
+
 def volatility(name: str, spec, term: str, scale: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = FeaturePipeline([spec], ["high", "low", "open", "close"]).transform(bars(spark, sf_dir), "event_type", "time")
@@ -246,7 +320,7 @@ volatility("rogers_satchell_volatility", RogersSatchellVolatility(["high", "low"
 
 
 def query_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = bars_from_ticks(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "ts", "value", "30 minutes")
+    made = bars_from_ticks(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "ts", "value", "30 minutes", "event_id")
     return rounded(made, ["open", "high", "low", "close", "volume"], ["event_type", "time"])
 
 
