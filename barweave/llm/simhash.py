@@ -5,13 +5,15 @@ compared exactly, tile against tile, with numpy's exclusive-or and bit counts; a
 of near population counts, and tile pairs whose counts differ beyond the radius are skipped.
 
 All pairs of tiles would be quadratic in the corpus. By the pigeonhole principle two fingerprints
-within radius r agree in at least one of r + 1 bit blocks, so tiles are formed among those that
-agree in a block: no link is lost, and work falls by the number of a block's values. A block value that
+within radius r agree in at least n of r + n bit blocks, so tiles are formed among those that
+agree in n: no link is lost, and work falls by the number of the blocks' values. n grows with the table, so that groups don't. A value that
 very many fingerprints share is dealt to several tasks, a pair of slices each.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -81,10 +83,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, ddl)
 
 
-def blocks(radius: int) -> list[tuple[int, int]]:
-    """(shift, width) of radius + 1 blocks that cover the 64 bits."""
-    edges = [BITS * k // (radius + 1) for k in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+def masks(radius: int, agree: int) -> list[int]:
+    """Of radius + agree blocks that cover the 64 bits, the bits of every `agree` of them, as signed numbers.
+
+    Fingerprints within the radius differ in `radius` blocks at most, so they are equal under one of the masks.
+    """
+    edges = [BITS * k // (radius + agree) for k in range(radius + agree + 1)]
+    block = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
+    sums = [sum(some) for some in combinations(block, agree)]
+    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in sums]
+
+
+def agreeing(rows: int, radius: int, slice_rows: int) -> int:
+    """The fewest blocks to agree in with which a group of `rows` spread evenly holds `slice_rows` at most; four at most (70 groups a row at radius 4)."""
+    return next((n for n in (1, 2, 3) if rows >> (BITS * n // (radius + n)) <= slice_rows), 4)
 
 
 class Forest:
@@ -153,14 +165,15 @@ def tiled_links(left: np.ndarray, right: np.ndarray | None, radius: int, tile: i
     return found
 
 
-def links(reps: DataFrame, radius: int = 4, slice_rows: int = 16384) -> DataFrame:
+def links(reps: DataFrame, radius: int = 4, slice_rows: int = 16384, agree: int | None = None) -> DataFrame:
     """Edges (a, b) between representatives whose fingerprints lie within the radius: a spanning set.
 
-    reps: (rep long, fp long), fingerprints distinct. Each row goes to radius + 1 block groups. A group of
+    reps: (rep long, fp long), fingerprints distinct. Each row goes to a group for each choice of `agree` blocks. A group of
     more than `slice_rows` rows is dealt into slices by a hash, and each pair of slices is a group of
     its own, so that a task holds two slices at most.
     """
-    keyed = [F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)).alias("v")) for k, (s, w) in enumerate(blocks(radius))]
+    agree = agree or agreeing(reps.count(), radius, slice_rows)
+    keyed = [F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("v")) for k, m in enumerate(masks(radius, agree))]
     spread = reps.select("rep", "fp", F.explode(F.array(*keyed)).alias("g")).select("rep", "fp", "g.k", "g.v")
     large = spread.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > slice_rows)
     large = large.select("k", "v", F.ceil(F.col("n") / slice_rows).cast("int").alias("slices"))

@@ -328,8 +328,9 @@ def test_tiles_and_hot_blocks(spark):
     cross = label(len(fps), [(a, b) for a, b in np.argwhere(close).tolist() if (a < half) != (b < half)])
     assert label(len(fps), [(a, half + b) for a, b in simhash.tiled_links(fps[:half], fps[half:], 4, tile=8)]) == cross
     reps = spark.createDataFrame([(i, int(f) - (1 << 64) if f >> np.uint64(63) else int(f)) for i, f in enumerate(fps)], "rep long, fp long")
-    for rows in (16384, 7):  # the second deals block groups over slices
-        assert label(len(fps), [tuple(r) for r in simhash.links(reps, 4, rows).collect()]) == want
+    for rows, agree in ((16384, None), (7, 1), (16384, 2), (7, 3)):  # the second and the last deal groups over slices
+        assert label(len(fps), [tuple(r) for r in simhash.links(reps, 4, rows, agree).collect()]) == want
+    assert [simhash.agreeing(n, 4, 16384) for n in (1, 6 * 10**7, 10**8, 10**11, 10**14)] == [1, 1, 2, 3, 4]
 
 
 def test_components(spark):
