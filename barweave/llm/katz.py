@@ -1,23 +1,24 @@
 """Katz backoff: Good-Turing discounted bigrams that back off to unigrams, over whole corpora.
 
-The model's symbols are the `vocabulary` most frequent training words, one class for all other words, and
-the end of a text; a word of the class has the class's probability times its own share in it, Good-Turing
-discounted in favour of words never seen. So whatever is needed per symbol (probabilities, backoff weights) is of bounded size
-and broadcast, while the counts behind it are those of all words and all pairs.
-
-Bigram counts live in a table partitioned by pair. A mapper sends each partition, for a few megabytes of texts, the pairs
-that occur there, their training counts and which texts hold them how often, coded in a few bytes a pair. The
-partition merges the counts; weights follow from sums over all partitions; then each partition evaluates its
-pairs, recursing to the unigram where a pair was not seen, and returns sums for each text.
+Words are 64-bit hashes, and all words and all pairs are counted apart; what a training text never holds is one event, the
+unseen word. Texts come in chunks of a few megabytes, stored as indexes into the chunk's own sorted words. A chunk asks the tables
+twice, by partition: first how often each of its words was learned, then how often each of its pairs, and what its histories
+have seen. A partition gets each key at most once from a chunk, with the chunk's own training counts, so the
+tables are counted and answered in one go; with the answers the chunk evaluates the recursion for each token.
+
+Pairs are dealt by history, so a history's weights are known where its pairs are. A history with more than a share of all
+tokens is dealt in slices, and only such (`HOT` at most) have their sums gathered and broadcast.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,13 @@ from .simhash import _LOWER
 
 CHUNK = 8 << 20
 PART_TOKENS = 2_000_000
+HOT = 1 << 20
+#: Chunks that a task works through, about.
+TASK_CHUNKS = 4
 END_WORD = np.uint64(0xE0D0)  # the hash that stands for the end of a text
+BEGIN = np.uint64(0xBE61)  # the history of a text's first token
 LARGE = 5  # counts above it are not discounted
+PLACE = np.uint64((1 << 48) - 1)  # successors travel as 48 bits of their hash, beside the history's 64
 
 
 def lowered_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,84 +63,45 @@ def good_turing(n: np.ndarray, large: int = LARGE) -> np.ndarray:
     return d
 
 
+def discounted(counts: np.ndarray, discounts: np.ndarray) -> np.ndarray:
+    return counts * np.where(counts <= LARGE, discounts[np.minimum(counts, LARGE)], 1.0)
+
+
 @dataclass
 class Unigrams:
-    """Symbols 0..k-1 are words by rank, k the class of other words, k+1 the beginning of a text (history only)."""
+    """Good-Turing probabilities from a word's training count; all words never seen share one probability."""
 
-    hashes: np.ndarray  # of the ranked words, sorted
-    ids: np.ndarray  # their ranks
-    counts: np.ndarray  # training counts by symbol, the class and the beginning included
     total: int
     types: int
-    p: np.ndarray  # probability by symbol, without the beginning
     discounts: np.ndarray
-    rare_scale: float  # a rare word's share in the class: d[c] * c * rare_scale
-    rare_new: float  # the share of all words never seen
-
-    @property
-    def k(self) -> int:
-        return len(self.hashes)
+    scale: float
+    unseen: float
 
     @staticmethod
-    def build(hashes: np.ndarray, counts: np.ndarray, total: int, types: int, texts: int, n: np.ndarray) -> Unigrams:
-        d = good_turing(n)
-        rare = total - int(counts.sum())
-        held = np.where(counts <= LARGE, d[np.minimum(counts, LARGE)], 1.0) * counts
-        other = max(total - held.sum(), total / (total + 1.0)) if total else 1.0
-        p = np.append(held * (total - other) / max(held.sum(), 1e-300) if total else held, other) / max(total, 1)
-        seen_small = np.bincount(counts[counts <= LARGE], minlength=LARGE + 1)[: LARGE + 1] if len(counts) else np.zeros(LARGE + 1)
-        few = np.maximum(n[: LARGE + 1] - seen_small, 0)
-        few[0] = 0
-        r = np.arange(LARGE + 1)
-        kept = float((d * r * few).sum() + (rare - (r * few).sum()))
-        new = 1.0 if rare <= 0 else max(1 - kept / rare, 1 / (rare + 1.0))
-        order = np.argsort(hashes)
-        return Unigrams(hashes[order], order, np.append(counts, [rare, texts]), total, types, p, d, (1 - new) / kept if kept > 0 else 0.0, new)
-
-    def symbols(self, h: np.ndarray) -> np.ndarray:
-        if not self.k:
-            return np.full(len(h), 0, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), self.k - 1)
-        return np.where(self.hashes[at] == h, self.ids[at], self.k)
+    def build(total: int, types: int, n: np.ndarray) -> Unigrams:
+        """n[r]: words seen r times (r up to LARGE + 1)."""
+        d, r = good_turing(n), np.arange(LARGE + 1)
+        kept = float((d * r * n[: LARGE + 1]).sum() + total - (r * n[: LARGE + 1]).sum())
+        other = max(total - kept, total / (total + 1.0))
+        return Unigrams(total, types, d, (total - other) / kept / total if total else 0.0, other / total if total else 1.0)
+
+    def p(self, counts: np.ndarray) -> np.ndarray:
+        return np.where(counts > 0, discounted(counts, self.discounts) * self.scale, self.unseen)
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.5) / (self.total + 0.5 * (self.types + 1)))
 
-    def rare_share(self, counts: np.ndarray) -> np.ndarray:
-        d = np.where(counts <= LARGE, self.discounts[np.minimum(counts, LARGE)], 1.0)
-        return np.where(counts > 0, d * counts * self.rare_scale, self.rare_new)
 
+def weights(n: np.ndarray, kept: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(scale, alpha) of histories: P(w|h) = scale * d[c] * c if the pair was seen, else alpha * P(w).
 
-@dataclass
-class Backoff:
-    """Bigram weights by history: P(w|h) = scale[h] * d[c] * c / c(h) if seen, else alpha[h] * P(w)."""
-
-    discounts: np.ndarray
-    scale: np.ndarray
-    alpha: np.ndarray
-
-    @staticmethod
-    def build(words: Unigrams, few: np.ndarray, large: np.ndarray, seen: np.ndarray) -> Backoff:
-        """few[h, r]: pairs of history h seen r times (r to LARGE + 1); large[h]: sum of counts above LARGE; seen[h]: unigram mass of its pairs."""
-        d = good_turing(few.sum(0).astype(float))
-        kept = (few[:, : LARGE + 1] * d * np.arange(LARGE + 1)).sum(1) + large
-        n = np.maximum(words.counts, 1).astype(float)
-        left = np.where(kept > 0, np.maximum(1 - kept / n, 1 / (n + 1)), 1.0)
-        rest = 1 - seen
-        open_ = rest > 1e-12  # some symbol is left to back off to
-        left = np.where(open_, left, 0.0)
-        scale = np.where(kept > 0, (1 - left) * n / np.maximum(kept, 1e-300), 1.0)
-        return Backoff(d, scale, np.where(open_, left / np.where(open_, rest, 1), 0.0))
-
-    def log10(self, words: Unigrams, h: np.ndarray, w: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """The recursion: the bigram if it was seen, else the history's weight times the unigram."""
-        d = np.where(c <= LARGE, self.discounts[np.minimum(c, LARGE)], 1.0)
-        with np.errstate(divide="ignore"):
-            return np.log10(np.where(c > 0, self.scale[h] * d * c / np.maximum(words.counts[h], 1), self.alpha[h] * words.p[w]))
-
-
-SHIFT = np.uint64(21)  # a pair is history * 2**21 + symbol, so the vocabulary may have two million words
-MASK = np.uint64((1 << 21) - 1)
+    n: how often the history was seen; kept: the sum of its pairs' discounted counts; seen: the unigram mass of their words.
+    Both parts add up to one: scale * kept + alpha * (1 - seen) = 1.
+    """
+    left = np.where(kept > 0, np.maximum(1 - kept / np.maximum(n, 1), 1 / (n + 1.0)), 1.0)
+    rest = 1 - seen
+    left = np.where(rest > 1e-12, left, 0.0)  # no word is left to back off to
+    return np.where(kept > 0, (1 - left) / np.where(kept > 0, kept, 1), 0.0), left / np.where(rest > 1e-12, rest, 1)
 
 
 def squeezed(*columns: np.ndarray) -> bytes:
@@ -153,229 +120,240 @@ def grown(blob: bytes, columns: int) -> list[np.ndarray]:
     return out
 
 
-def chunk_pairs(words: Unigrams, data: np.ndarray, offsets: np.ndarray, learn: np.ndarray, parts: int):
-    """(partition, blob) of the chunk's pairs: keys, training counts, texts each, and those texts with how often."""
-    h, row = lowered_words(data, offsets)
-    w = words.symbols(h).astype(np.uint64)
-    before = np.empty_like(w)
-    before[1:] = w[:-1]
-    before[np.flatnonzero(np.diff(row, prepend=-1))] = words.k + 1
-    pair = np.sort(((before << SHIFT | w) << np.uint64(16)) | row.astype(np.uint64))
-    new = np.flatnonzero(np.diff(pair, prepend=pair[0] + np.uint64(1)) != 0)
-    often = np.diff(np.append(new, len(pair)))
-    pair = pair[new]
-    key, text = pair >> np.uint64(16), (pair & np.uint64(0xFFFF)).astype(np.int64)
-    lead = np.flatnonzero(np.diff(key, prepend=key[0] + np.uint64(1)) != 0)
-    count = np.add.reduceat(often * learn[text], lead)
-    texts = np.diff(np.append(lead, len(key)))
-    key = key[lead]
+def dealt(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, cuts): keys by partition, in their own order within one; partition p is order[cuts[p]:cuts[p + 1]]."""
     part = (mix64(key) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(cuts)):
-        own = order[cuts[p] : cuts[p + 1]]
-        at = np.repeat(lead[own], texts[own]) + np.arange(int(texts[own].sum())) - np.repeat(np.cumsum(texts[own]) - texts[own], texts[own])
-        yield int(p), squeezed(np.diff(key[own], prepend=np.uint64(0)), count[own], texts[own], text[at], often[at])
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
-PAIRS = "part int, chunk long, kind int, blob binary"
-TABLE = "kind int, part int, chunk long, blobs array<binary>, h long, r1 long, r2 long, r3 long, r4 long, r5 long, r6 long, large long, seen double"
+class Chunk:
+    """Some texts' tokens as places among the chunk's own words, which are sorted by hash."""
+
+    def __init__(self, blob: bytes, held: np.ndarray):
+        steps, self.index, size = (c.astype(np.int64) for c in grown(blob, 3))
+        self.words = np.cumsum(steps.view(np.uint64), dtype=np.uint64)
+        self.row = np.repeat(np.arange(len(size)), size)
+        self.learn = ~held
+
+    @staticmethod
+    def pack(h: np.ndarray, row: np.ndarray, n: int) -> bytes:
+        words, index = np.unique(h, return_inverse=True)
+        return squeezed(np.diff(words, prepend=np.uint64(0)), index, np.bincount(row, minlength=n))
+
+    def learned(self, of: np.ndarray, n: int) -> np.ndarray:
+        """How many of the training texts' tokens have each of n values."""
+        return np.bincount(of, self.learn[self.row].astype(float), n).astype(np.int64)
+
+    def questions(self, parts: int) -> Iterator[tuple[int, bytes]]:
+        order, cuts = dealt(self.words, parts)
+        often = self.learned(self.index, len(self.words))
+        for p in np.flatnonzero(np.diff(cuts)):
+            own = order[cuts[p] : cuts[p + 1]]
+            yield int(p), squeezed(np.diff(self.words[own], prepend=np.uint64(0)), often[own])
+
+    def take_counts(self, blobs: list[bytes], parts: int, whole: int) -> None:
+        """The answers to `questions`, by partition; then pairs are known, and how they are dealt."""
+        counts = np.empty(len(self.words), np.int64)
+        counts[dealt(self.words, parts)[0]] = np.concatenate([grown(b, 1)[0] for b in blobs]).astype(np.int64)
+        self.counts = counts
+        # the last history is the beginning, which is as frequent as the end
+        self.hashes = np.append(self.words, BEGIN)
+        self.seen_often = np.append(counts, counts[np.searchsorted(self.words, END_WORD)])
+        before = np.append(0, self.index[:-1])
+        before[np.flatnonzero(np.diff(self.row, prepend=-1))] = len(self.words)
+        pair, self.of = np.unique(before * len(self.hashes) + self.index, return_inverse=True)
+        self.h, self.w = np.divmod(pair, len(self.hashes))
+        self.hot = self.seen_often > whole
+        h = self.hashes[self.h]
+        self.order, self.cuts = dealt(np.where(self.hot[self.h], h ^ mix64(self.words[self.w]), h), parts)
+
+    def parts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(partition, its pairs, where among them each history begins)."""
+        for p in np.flatnonzero(np.diff(self.cuts)):
+            own = self.order[self.cuts[p] : self.cuts[p + 1]]
+            yield int(p), own, np.flatnonzero(np.diff(self.h[own], prepend=-1))
+
+    def pair_questions(self) -> Iterator[tuple[int, bytes]]:
+        often = self.learned(self.of, len(self.h))
+        for p, own, lead in self.parts():
+            h = self.h[own[lead]]
+            known = np.where(often[own] > 0, self.counts[self.w[own]], 0)
+            steps = self.hashes[h] - np.append(np.uint64(0), self.hashes[h[:-1]])
+            yield p, squeezed(steps, self.hot[h], np.diff(np.append(lead, len(own))), self.words[self.w[own]] & PLACE, often[own], known)
+
+    def scores(self, blobs: list[bytes], words: Unigrams, discounts: np.ndarray, hot: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+        """(tokens, known tokens, base, score) of each text, from the answers to `pair_questions`."""
+        c = np.zeros(len(self.h), np.int64)
+        kept, seen = np.zeros(len(self.hashes)), np.zeros(len(self.hashes))
+        for blob, (_, own, lead) in zip(blobs, self.parts(), strict=True):
+            own_c, *few, large, mass = grown(blob, LARGE + 3)
+            c[own] = own_c.astype(np.int64)
+            h = self.h[own[lead]]
+            kept[h] = sum(discounts[r] * r * f for r, f in enumerate(few, 1)) + large
+            seen[h] = mass.view(np.float64)
+        at = np.flatnonzero(self.hot)
+        place = np.searchsorted(hot[0], self.hashes[at])
+        kept[at], seen[at] = hot[1][place], hot[2][place]
+        scale, alpha = weights(self.seen_often, kept, seen)
+        p = words.p(self.counts)
+        with np.errstate(divide="ignore"):
+            logs = np.log10(np.where(c > 0, scale[self.h] * discounted(c, discounts), alpha[self.h] * p[self.w]))
+        n = len(self.learn)
+        known = np.bincount(self.row, (self.counts > 0)[self.index], n).astype(np.int64)
+        return np.bincount(self.row, minlength=n), known, np.bincount(self.row, words.base(self.counts)[self.index], n), np.bincount(self.row, logs[self.of], n)
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, vocabulary: int = 1 << 16) -> DataFrame:
+def grouped(batches, key: int) -> Iterator[list[dict]]:
+    """The rows of each value of a sorted partition's column."""
+    held: list[dict] = []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
+            if held and held[0][batch.schema.names[key]] != row[batch.schema.names[key]]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+ASKED = "part int, chunk long, blob binary"
+ANSWERED = "chunk long, part int, blob binary, stats array<long>, h long, sums array<double>"
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, whole: int = PART_TOKENS // 8) -> DataFrame:
     """One row per document: its size, known words, base score and the model's log10 probability.
 
     Learned from the documents whose crc32(id) mod `folds` is not `held`; a null id is learned from. Null texts are
-    empty: one token, the end. Repeated rows are scored once each; an empty table gives an empty result; other
-    columns are not read.
+    empty: one token, the end. Repeated rows count and are scored once each; an empty table gives an empty result; other
+    columns are not read. Histories seen more often than `whole` (and than a HOT-th of all tokens) are dealt in slices.
     """
     spark = docs.sparkSession
     doc = F.col(id_col).cast("long")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.xxhash64(doc, text).alias("uid"), doc.alias("doc_id"), F.coalesce(fold(doc, folds) == held, F.lit(False)).alias("held_out"), text.alias("text"))
+    rows = docs.select(doc.alias("doc"), F.coalesce(fold(doc, folds) == held, F.lit(False)).alias("held"), text.alias("text"))
 
-    # all words' training counts
-    ddl = "w long, c long"
-    counted = arrow_schema(ddl)
+    ddl = "chunk long, doc array<long>, held array<boolean>, size long, blob binary"
+    split = arrow_schema(ddl)
 
-    def count(batches):
+    def chunked(batches):
+        many = TaskContext.get().partitionId() << 32
         for batch in batches:
-            data, offsets = utf8_view(batch.column(0))
-            for a, b in row_chunks(offsets, CHUNK):
-                w, c = np.unique(lowered_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[0], return_counts=True)
-                yield zipped(counted, w=w.view(np.int64), c=c)
-
-    table = stored(rows.filter(~F.col("held_out")).select("text").mapInArrow(count, ddl).groupBy("w").agg(F.sum("c").alias("c")), "unigrams")
-    small = [F.count(F.when(F.col("c") == r, 1)) for r in range(1, LARGE + 2)]
-    size = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max(F.when(F.col("w") == F.lit(int(END_WORD)), F.col("c"))), F.lit(0)), *small).first()
-    # the most frequent words: first the octave of counts that holds the last of them, so that little is sorted
-    octaves = {int(r["b"]): r["count"] for r in table.groupBy(F.floor(F.log2("c")).alias("b")).count().collect()}  # 64 rows at most
-    least = next((b for b in sorted(octaves, reverse=True) if sum(n for o, n in octaves.items() if o >= b) >= vocabulary), 0)
-    top = table.filter(F.col("c") >= 2**least).orderBy(F.desc("c"), "w").limit(vocabulary).toPandas()  # `vocabulary` rows at most
-    words = Unigrams.build(top["w"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), size[0], size[1], size[2], np.array([0, *size[3:]], float))
-    shipped = spark.sparkContext.broadcast(words)
-
-    # what a text's own words give; rare words are looked up in the table
-    ddl = "uid long, doc_id long, held_out boolean, w long, n long, known long, base double"
-    own = arrow_schema(ddl)
-
-    def texts(batches):
-        words = shipped.value
-        for batch in batches:
-            data, offsets = utf8_view(batch.column(3))
+            data, offsets = utf8_view(batch.column(2))
             for a, b in row_chunks(offsets, CHUNK):
                 h, row = lowered_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                n = b - a
-                symbol = words.symbols(h)
-                common = symbol < words.k
-                base = np.where(common, words.base(words.counts[symbol]), 0.0)
-                many = np.bincount(row, minlength=n)
-                yield zipped(
-                    own, uid=batch.column(0).slice(a, n), doc_id=batch.column(1).slice(a, n), held_out=batch.column(2).slice(a, n),
-                    w=pa.nulls(n, pa.int64()), n=many, known=np.bincount(row[common], minlength=n), base=np.bincount(row, base, n),
-                )
-                rare, rows_ = h[~common], row[~common]
-                if len(rare):
-                    order = np.lexsort((rare, rows_))
-                    rare, rows_ = rare[order], rows_[order]
-                    new = np.flatnonzero(np.append(True, (rare[1:] != rare[:-1]) | (rows_[1:] != rows_[:-1])))
-                    at = pa.array(rows_[new] + a)
-                    blank = len(new)
-                    yield zipped(
-                        own, uid=batch.column(0).take(at), doc_id=pa.nulls(blank, pa.int64()), held_out=pa.nulls(blank, pa.bool_()),
-                        w=rare[new].view(np.int64), n=np.diff(np.append(new, len(rare))), known=pa.nulls(blank, pa.int64()), base=pa.nulls(blank, pa.float64()),
-                    )
-
-    found = stored(rows.mapInArrow(texts, ddl), "texts")
-    plain = found.filter("w is null").select("uid", "doc_id", "held_out", "n", "known", "base", F.lit(0.0).alias("s"))
-    share = [F.when(F.col("c") == r, F.lit(float(words.discounts[r]))) for r in range(1, LARGE + 1)]
-    log_share = F.when(F.col("c").isNull(), F.lit(float(np.log10(words.rare_new)))).otherwise(F.log10(F.coalesce(*share, F.lit(1.0)) * F.col("c") * F.lit(words.rare_scale)))
-    blank = [F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(0).cast("long").alias("n0")]
-    base = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(words.total + 0.5 * (words.types + 1)))
-    rare = found.filter("w is not null").select("uid", "w", "n").join(table, "w", "left")
-    rare = rare.select("uid", *blank, F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0).alias("known"), (F.col("n") * base).alias("base"), (F.col("n") * log_share).alias("s"))
-
-    # bigrams, by partition of pairs
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(words.total) // PART_TOKENS))
-    paired = arrow_schema(PAIRS)
-
-    def pairs(batches):
-        words = shipped.value
-        for batch in batches:
-            data, offsets = utf8_view(batch.column(2))
-            uid = batch.column(0).to_numpy()
-            learn = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for x, y in row_chunks(offsets, CHUNK):
-                for a in range(x, y, 1 << 16):
-                    b = min(a + (1 << 16), y)
-                    chunk = int(mix64(np.add.reduce(mix64(uid[a:b].view(np.uint64) + np.arange(b - a, dtype=np.uint64)), keepdims=True)).view(np.int64)[0])
-                    got = list(chunk_pairs(words, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], learn[a:b], parts))
-                    got.append((chunk % parts, None))
-                    yield zipped(paired, part=[p for p, _ in got], chunk=[chunk] * len(got), kind=[0] * (len(got) - 1) + [1], blob=[z for _, z in got[:-1]] + [uid[a:b].tobytes()])
-
-    merged = arrow_schema(TABLE)
-    empty = {f.name: None for f in merged}
-
-    def merge(batches):
-        """One row per partition with all its blobs, the sums for each history, and the texts of each chunk."""
-        words = shipped.value
-
-        def done(part, blobs):
-            cols = [grown(z[8:], 5)[:2] for z in blobs]
-            keys = np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in cols])
-            key, back = np.unique(keys, return_inverse=True)
-            c = np.bincount(back, np.concatenate([x for _, x in cols]).astype(float), len(key)).astype(np.int64)
-            yield dict(empty, kind=0, part=part, blobs=[squeezed(np.diff(key, prepend=np.uint64(0)), c), *blobs])
-            key, c = key[c > 0], c[c > 0]
-            if len(key):
-                h, w = (key >> SHIFT).astype(np.int64), (key & MASK).astype(np.int64)
-                lead = np.flatnonzero(np.diff(h, prepend=-1))
-                sums = {f"r{r}": np.add.reduceat((c == r).astype(np.int64), lead) for r in range(1, LARGE + 2)}
-                sums |= {"large": np.add.reduceat(np.where(c > LARGE, c, 0), lead), "seen": np.add.reduceat(words.p[w], lead), "h": h[lead]}
-                yield from (dict(empty, kind=1, part=part, **dict(zip(sums, v))) for v in zip(*(x.tolist() for x in sums.values())))
-
-        def packed(rows):
-            rows = list(rows)
-            for a in range(0, len(rows), 4096):
-                yield zipped(merged, **{f.name: [r[f.name] for r in rows[a : a + 4096]] for f in merged})
-
-        held, at = [], None
+                lists = {name: pa.array([batch.column(k).slice(a, b - a).to_pylist()], split.field(name).type) for k, name in enumerate(("doc", "held"))}
+                yield zipped(split, chunk=[many], **lists, size=[len(h)], blob=[Chunk.pack(h, row, b - a)])
+                many += 1
+
+    chunks = stored(rows.mapInArrow(chunked, ddl), "chunks")
+    size, n_chunks = chunks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts, tasks = max(least, -(-size // PART_TOKENS)), max(least, -(-n_chunks // TASK_CHUNKS))
+    asked, answered = arrow_schema(ASKED), arrow_schema(ANSWERED)
+    blank = dict.fromkeys(answered.names, [None])
+
+    def ask(chunk, questions):
+        for p, blob in questions:
+            yield zipped(asked, part=[p], chunk=[chunk], blob=[blob])
+
+    def table(questions: DataFrame, answer, label: str) -> DataFrame:
+        return stored(questions.repartition(parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(answer, ANSWERED), label)
+
+    def ask_words(batches):
         for batch in batches:
-            for part, chunk, kind, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                if kind == 1:
-                    yield from packed([dict(empty, kind=2, chunk=chunk, blobs=[blob])])
-                    continue
-                if part != at and held:
-                    yield from packed(done(at, held))
-                    held = []
-                at = part
-                held.append(chunk.to_bytes(8, "little", signed=True) + blob)
-        if held:
-            yield from packed(done(at, held))
-
-    sent = rows.select("uid", "held_out", "text").mapInArrow(pairs, PAIRS)
-    bigrams = stored(sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(merge, TABLE), "bigrams")
-    names = [*[f"r{r}" for r in range(1, LARGE + 2)], "large", "seen"]
-    sums = bigrams.filter("kind = 1").groupBy("h").agg(*[F.sum(n).alias(n) for n in names]).toPandas()  # a row a symbol at most
-    at = sums["h"].to_numpy(np.int64)
-    few, large, seen = np.zeros((words.k + 2, LARGE + 2)), np.zeros(words.k + 2), np.zeros(words.k + 2)
-    few[at, 1:], large[at], seen[at] = sums[names[: LARGE + 1]].to_numpy(float), sums["large"].to_numpy(float), sums["seen"].to_numpy(float)
-    model = spark.sparkContext.broadcast(Backoff.build(words, few, large, seen))
-    ddl = "chunk long, kind int, blob binary"
-    summed = arrow_schema(ddl)
+            for chunk, held_out, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                yield from ask(chunk, Chunk(blob, np.array(held_out, bool)).questions(parts))
+
+    def count_words(batches):
+        for own in grouped(batches, 0):
+            steps, often = zip(*(grown(r["blob"].as_py(), 2) for r in own))
+            key, back = np.unique(np.concatenate([np.cumsum(s, dtype=np.uint64) for s in steps]), return_inverse=True)
+            c = np.bincount(back, np.concatenate(often).astype(float)).astype(np.int64)
+            at = 0
+            for r, s in zip(own, steps):
+                yield zipped(answered, **blank | {"chunk": [r["chunk"].as_py()], "part": [r["part"].as_py()], "blob": [squeezed(c[back[at : at + len(s)]])]})
+                at += len(s)
+            yield zipped(answered, **blank | {"stats": [[int(c.sum()), int((c > 0).sum()), *(int((c == r).sum()) for r in range(1, LARGE + 2))]]})
+
+    def totals(answers: DataFrame, n: int) -> list[int]:
+        return [x or 0 for x in answers.agg(*[F.sum(F.col("stats")[k]) for k in range(n)]).first()]
+
+    unigrams = table(chunks.select("chunk", "held", "blob").mapInArrow(ask_words, ASKED), count_words, "unigrams")
+    total, types, *n = totals(unigrams, LARGE + 3)
+    words = Unigrams.build(total, types, np.array([0, *n], float))
+    whole = max(whole, total // HOT)
+
+    def with_answers(*tables: DataFrame) -> DataFrame:
+        """The chunks, each followed by what the tables answered, by table and partition."""
+        none = F.lit(None)
+        all_rows = chunks.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("part"), "doc", "held", "blob")
+        for k, t in enumerate(tables, 1):
+            told = t.filter("chunk is not null").select("chunk", F.lit(k), "part", none.cast("array<long>"), none.cast("array<boolean>"), "blob")
+            all_rows = all_rows.unionAll(told)
+        return all_rows.repartition(int(tasks), "chunk").sortWithinPartitions("chunk", "kind", "part")
+
+    def opened(batches):
+        """(chunk, its row, the answers of the second table) with the first table's taken in."""
+        for first, *told in grouped(batches, 0):
+            got = Chunk(first["blob"].as_py(), np.array(first["held"].as_py(), bool))
+            answers: list[list] = [[], []]
+            for r in told:
+                answers[r["kind"].as_py() - 1].append(r["blob"].as_py())
+            got.take_counts(answers[0], parts, whole)
+            yield got, first, answers[1]
+
+    def ask_pairs(batches):
+        for got, first, _ in opened(batches):
+            yield from ask(first["chunk"].as_py(), got.pair_questions())
+
+    def count_pairs(batches):
+        for own in grouped(batches, 0):
+            steps, hot, many, w, often, known = zip(*(grown(r["blob"].as_py(), 6) for r in own))
+            each = [np.cumsum(s, dtype=np.uint64) for s in steps]
+            h = np.concatenate([np.repeat(e, m.astype(np.int64)) for e, m in zip(each, many)])
+            with np.errstate(over="ignore"):
+                key, first, back = np.unique(mix64(h + mix64(np.concatenate(w))), return_index=True, return_inverse=True)
+            c = np.bincount(back, np.concatenate(often).astype(float)).astype(np.int64)
+            word = np.zeros(len(key), np.int64)
+            known = np.concatenate(known).astype(np.int64)
+            word[back[known > 0]] = known[known > 0]
+            of, by = np.unique(h[first], return_inverse=True)
+            few = [np.bincount(by[c == r], minlength=len(of)) for r in range(1, LARGE + 2)]
+            large = np.bincount(by, np.where(c > LARGE, c, 0), len(of)).astype(np.int64)
+            seen = np.bincount(by, np.where(c > 0, words.p(word), 0.0), len(of))
+            at = 0
+            for r, e, x, m in zip(own, each, hot, w):
+                place = np.searchsorted(of, e)
+                told = [np.where(x > 0, 0, v[place]) for v in (*few[:LARGE], large)]
+                blob = squeezed(c[back[at : at + len(m)]], *told, np.where(x > 0, 0.0, seen[place]).view(np.uint64))
+                yield zipped(answered, **blank | {"chunk": [r["chunk"].as_py()], "part": [r["part"].as_py()], "blob": [blob]})
+                at += len(m)
+            sliced = np.searchsorted(of, np.unique(np.concatenate([e[x > 0] for e, x in zip(each, hot)])))
+            if len(sliced):
+                sums = np.array([*few[:LARGE], large, seen], float)[:, sliced].T
+                full = {name: pa.nulls(len(sliced), answered.field(name).type) for name in answered.names}
+                yield zipped(answered, **full | {"h": of[sliced].view(np.int64), "sums": sums.tolist()})
+            yield zipped(answered, **blank | {"stats": [[int(f.sum()) for f in few]]})
+
+    bigrams = table(with_answers(unigrams).mapInArrow(ask_pairs, ASKED), count_pairs, "bigrams")
+    d2 = good_turing(np.array([0, *totals(bigrams, LARGE + 1)], float))
+    kept = sum(F.lit(float(d2[r]) * r) * F.col("sums")[r - 1] for r in range(1, LARGE + 1)) + F.col("sums")[LARGE]
+    sliced = bigrams.filter("h is not null").groupBy("h").agg(F.sum(kept).alias("kept"), F.sum(F.col("sums")[LARGE + 1]).alias("seen")).toPandas()  # HOT rows at most
+    h = sliced["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    hot = spark.sparkContext.broadcast((h[order], sliced["kept"].to_numpy(float)[order], sliced["seen"].to_numpy(float)[order]))
+    ddl = "doc long, held boolean, n long, known long, base double, score double"
+    scored = arrow_schema(ddl)
 
     def evaluate(batches):
-        """For each chunk a partition's sums for its texts."""
-        words, weights = shipped.value, model.value
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            for blobs in batch.column(0):
-                first, *rest = (b.as_py() for b in blobs.values)
-                key, c = grown(first, 2)
-                key = np.cumsum(key, dtype=np.uint64)
-                logs = weights.log10(words, (key >> SHIFT).astype(np.int64), (key & MASK).astype(np.int64), c.astype(np.int64))
-                for blob in rest:
-                    own, _, many, text, often = grown(blob[8:], 5)
-                    value = np.repeat(logs[np.searchsorted(key, np.cumsum(own, dtype=np.uint64))], many.astype(np.int64)) * often
-                    s = np.bincount(text.astype(np.int64), value)
-                    yield zipped(summed, chunk=[int.from_bytes(blob[:8], "little", signed=True)], kind=[0], blob=[squeeze(s.tobytes())])
-
-    ddl2 = "uid long, s double"
-    added = arrow_schema(ddl2)
-
-    def gather(batches):
-        """Each text's sum: a chunk's partitions come together, then the texts that it held (once for each equal chunk)."""
-        at, s, lists = None, np.zeros(0), []
-        grow = zstandard.ZstdDecompressor().decompress
-
-        def done():
-            for uid in lists:
-                yield zipped(added, uid=uid, s=np.append(s, np.zeros(len(uid)))[: len(uid)] / len(lists))
+        for got, first, answers in opened(batches):
+            n, known, base, score = got.scores(answers, words, d2, hot.value)
+            yield zipped(scored, doc=first["doc"].values, held=first["held"].values, n=n, known=known, base=base, score=score)
 
-        for batch in batches:
-            for chunk, kind, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                if chunk != at:
-                    yield from done()
-                    at, s, lists = chunk, np.zeros(0), []
-                if kind:
-                    lists.append(np.frombuffer(blob, np.int64))
-                else:
-                    part = np.frombuffer(grow(blob), np.float64)
-                    s = np.append(s, np.zeros(max(0, len(part) - len(s))))
-                    s[: len(part)] += part
-        yield from done()
-
-    sums = bigrams.filter("kind = 0").select("blobs").mapInArrow(evaluate, ddl)
-    sums = sums.unionAll(bigrams.filter("kind = 2").select("chunk", F.lit(1).alias("kind"), F.col("blobs")[0].alias("blob")))
-    scores = sums.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(gather, ddl2)
-    scores = scores.select("uid", *blank, F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), "s")
-    total = plain.unionAll(rare).unionAll(scores).groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.count("held_out").alias("copies"),
-        F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("s").alias("s"),
-    )
-    # rows equal in id and text were added up
-    each = total.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    each = with_answers(unigrams, bigrams).mapInArrow(evaluate, ddl)
     return each.select(
-        F.col("doc_id").alias(id_col), "held_out", F.floor(F.col("n") / F.col("copies")).alias("n_tokens"), F.floor(F.col("known") / F.col("copies")).alias("n_known"),
-        F.lit(words.total).cast("long").alias("train_tokens"), (F.col("base") / F.col("copies")).alias("base_score"), (F.col("s") / F.col("copies")).alias("score"),
+        F.col("doc").alias(id_col), F.col("held").alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score",
     )
