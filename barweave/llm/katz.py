@@ -33,7 +33,7 @@ TASK_CHUNKS = 4
 END_WORD = np.uint64(0xE0D0)  # the hash that stands for the end of a text
 BEGIN = np.uint64(0xBE61)  # the history of a text's first token
 LARGE = 5  # counts above it are not discounted
-PLACE = np.uint64((1 << 48) - 1)  # successors travel as 48 bits of their hash, beside the history's 64
+CUT = np.uint64(16)  # successors travel as the upper 48 bits of their hash, beside the history's 64
 
 
 def lowered_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,9 +178,9 @@ class Chunk:
         often = self.learned(self.of, len(self.h))
         for p, own, lead in self.parts():
             h = self.h[own[lead]]
-            known = np.where(often[own] > 0, self.counts[self.w[own]], 0)
+            w, place = np.unique(self.w[own], return_inverse=True)
             steps = self.hashes[h] - np.append(np.uint64(0), self.hashes[h[:-1]])
-            yield p, squeezed(steps, self.hot[h], np.diff(np.append(lead, len(own))), self.words[self.w[own]] & PLACE, often[own], known)
+            yield p, squeezed(steps, self.hot[h], np.diff(np.append(lead, len(own))), np.diff(self.words[w] >> CUT, prepend=np.uint64(0)), self.counts[w], place, often[own])
 
     def scores(self, blobs: list[bytes], words: Unigrams, discounts: np.ndarray, hot: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
         """(tokens, known tokens, base, score) of each text, from the answers to `pair_questions`."""
@@ -310,24 +310,24 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def count_pairs(batches):
         for own in grouped(batches, 0):
-            steps, hot, many, w, often, known = zip(*(grown(r["blob"].as_py(), 6) for r in own))
+            steps, hot, many, word_steps, known, place, often = zip(*(grown(r["blob"].as_py(), 7) for r in own))
             each = [np.cumsum(s, dtype=np.uint64) for s in steps]
             h = np.concatenate([np.repeat(e, m.astype(np.int64)) for e, m in zip(each, many)])
+            w = np.concatenate([np.cumsum(s, dtype=np.uint64)[x.view(np.int64)] for s, x in zip(word_steps, place)])
             with np.errstate(over="ignore"):
-                key, first, back = np.unique(mix64(h + mix64(np.concatenate(w))), return_index=True, return_inverse=True)
+                key, first, back = np.unique(mix64(h + mix64(w)), return_index=True, return_inverse=True)
             c = np.bincount(back, np.concatenate(often).astype(float)).astype(np.int64)
             word = np.zeros(len(key), np.int64)
-            known = np.concatenate(known).astype(np.int64)
-            word[back[known > 0]] = known[known > 0]
+            word[back] = np.concatenate([n[x.view(np.int64)] for n, x in zip(known, place)]).astype(np.int64)
             of, by = np.unique(h[first], return_inverse=True)
             few = [np.bincount(by[c == r], minlength=len(of)) for r in range(1, LARGE + 2)]
             large = np.bincount(by, np.where(c > LARGE, c, 0), len(of)).astype(np.int64)
             seen = np.bincount(by, np.where(c > 0, words.p(word), 0.0), len(of))
             at = 0
-            for r, e, x, m in zip(own, each, hot, w):
-                place = np.searchsorted(of, e)
-                told = [np.where(x > 0, 0, v[place]) for v in (*few[:LARGE], large)]
-                blob = squeezed(c[back[at : at + len(m)]], *told, np.where(x > 0, 0.0, seen[place]).view(np.uint64))
+            for r, e, x, m in zip(own, each, hot, often):
+                at_h = np.searchsorted(of, e)
+                told = [np.where(x > 0, 0, v[at_h]) for v in (*few[:LARGE], large)]
+                blob = squeezed(c[back[at : at + len(m)]], *told, np.where(x > 0, 0.0, seen[at_h]).view(np.uint64))
                 yield zipped(answered, **blank | {"chunk": [r["chunk"].as_py()], "part": [r["part"].as_py()], "blob": [blob]})
                 at += len(m)
             sliced = np.searchsorted(of, np.unique(np.concatenate([e[x > 0] for e, x in zip(each, hot)])))
