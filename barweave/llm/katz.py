@@ -259,7 +259,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield zipped(asked, part=[p], chunk=[chunk], blob=[blob])
 
     def table(questions: DataFrame, answer, label: str) -> DataFrame:
-        return stored(questions.repartition(parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(answer, ANSWERED), label)
+        return stored(questions.repartitionById(parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(answer, ANSWERED), label)
 
     def ask_words(batches):
         for batch in batches:
