@@ -26,7 +26,7 @@ from .common import arrow_schema, fold, mix64, row_chunks, stored, utf8_view, wo
 from .simhash import _LOWER
 
 CHUNK = 8 << 20
-PART_TOKENS = 2_000_000
+PART_TOKENS = 4_000_000
 HOT = 1 << 20
 #: Chunks that a task works through, about.
 TASK_CHUNKS = 4
@@ -131,15 +131,19 @@ class Chunk:
     """Some texts' tokens as places among the chunk's own words, which are sorted by hash."""
 
     def __init__(self, blob: bytes, held: np.ndarray):
-        steps, self.index, size = (c.astype(np.int64) for c in grown(blob, 3))
+        steps, ranks, often, size = (c.view(np.int64) for c in grown(blob, 4))
         self.words = np.cumsum(steps.view(np.uint64), dtype=np.uint64)
+        self.index = np.argsort(-often, kind="stable")[ranks]
         self.row = np.repeat(np.arange(len(size)), size)
         self.learn = ~held
 
     @staticmethod
     def pack(h: np.ndarray, row: np.ndarray, n: int) -> bytes:
-        words, index = np.unique(h, return_inverse=True)
-        return squeezed(np.diff(words, prepend=np.uint64(0)), index, np.bincount(row, minlength=n))
+        """Tokens as ranks by frequency, whose upper bytes compress well; the ranks follow from the counts."""
+        words, index, often = np.unique(h, return_inverse=True, return_counts=True)
+        rank = np.empty(len(words), np.int64)
+        rank[np.argsort(-often, kind="stable")] = np.arange(len(words))
+        return squeezed(np.diff(words, prepend=np.uint64(0)), rank[index], often, np.bincount(row, minlength=n))
 
     def learned(self, of: np.ndarray, n: int) -> np.ndarray:
         """How many of the training texts' tokens have each of n values."""
@@ -222,7 +226,7 @@ ASKED = "part int, chunk long, blob binary"
 ANSWERED = "chunk long, part int, blob binary, stats array<long>, h long, sums array<double>"
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, whole: int = PART_TOKENS // 8) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, whole: int = PART_TOKENS // 16) -> DataFrame:
     """One row per document: its size, known words, base score and the model's log10 probability.
 
     Learned from the documents whose crc32(id) mod `folds` is not `held`; a null id is learned from. Null texts are
