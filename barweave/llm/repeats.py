@@ -1,7 +1,7 @@
 """Repeated windows of a whole corpus: the distributed frame of both substring operators.
 
-Anchors of all documents meet by hash; classes of equal context are settled by counting. Of what
-is left, one representative per class brings its symbols to a shard, where the operator's own index
+Anchors of all documents meet by hash, once for some 8 MB of text that repeats them; classes of equal context are
+settled by counting. Of what is left, one representative per class brings its symbols to a shard, where the operator's own index
 (a family of suffix arrays, or reference blocks of a relative Lempel-Ziv parse) finds the windows that repeat.
 An anchor with more contexts than a shard should hold is cut by content (`split`), as often as it takes, and its
 parts go the same way. All tables between are in the shared folder; nothing but counts reaches the driver.
@@ -23,6 +23,8 @@ from .anchors import runs
 from .common import arrow_schema, discard, row_chunks, stored, utf8_view, word_hashes, words_of, zipped
 
 CHUNK = 1 << 18
+#: Bytes of text whose runs a task combines before they are shuffled.
+COMBINE = 8 << 20
 #: Bytes of contexts that an index sees at once, and that a task works through, about.
 SHARD_BYTES, TASK_BYTES = 2 << 20, 64 << 20
 #: How finely `split` cuts, round by round.
@@ -54,21 +56,64 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(uid.alias("uid"), u2.alias("u2"), F.col(id_col).cast("long").alias("doc"), text.alias("text"))
 
 
-def anchor_table(rows: DataFrame, kind: str, window: int, gram: int) -> DataFrame:
-    """One row per run of windows with one anchor: the document, anchor, context, lo, n (windows), d (anchor's distance)."""
-    ddl = "uid long, u2 int, doc long, a long, c long, lo int, n int, d int"
+def classed(a: np.ndarray, c: np.ndarray, *place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(least, many, of): for each class of equal anchor and context its run of least place and its size; the class of each run."""
+    order = np.lexsort((*place[::-1], c, a))
+    new = np.append(True, (a[order][1:] != a[order][:-1]) | (c[order][1:] != c[order][:-1]))
+    begin = np.flatnonzero(new)
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order[begin], np.diff(np.append(begin, len(order))), of
+
+
+def anchor_table(rows: DataFrame, kind: str, window: int, gram: int, keep_first: bool) -> DataFrame:
+    """Classes of runs of windows with one anchor, as far as COMBINE bytes of text hold them, and what repeats there already.
+
+    A class: the document, anchor, context, lo, n (windows), d (anchor's distance) of its first run, and many (runs). Spans of
+    windows that are seen to repeat without the rest of the corpus have no anchor, but begin at lo and have n symbols.
+    """
+    ddl = "uid long, u2 int, doc long, a long, c long, lo int, n int, d int, many int"
     made = arrow_schema(ddl)
 
+    def combined(parts):
+        a, c, lo, n, d, uid, u2, known, doc, row = (np.concatenate(x) for x in zip(*parts))
+        least, many, of = classed(a, c, known, doc, uid, u2, lo)
+        own = {"uid": uid[least], "u2": u2[least], "doc": pa.array(doc[least], mask=~known[least])}
+        yield zipped(made, **own, a=a[least].view(np.int64), c=c[least].view(np.int64), lo=lo[least], n=n[least], d=d[least], many=many)
+        again = many[of] > 1
+        if keep_first:
+            of = least[of]
+            again &= (known != known[of]) | (doc != doc[of]) | (uid != uid[of]) | (u2 != u2[of]) | (lo != lo[of])
+        at = np.flatnonzero(again)
+        if not len(at):
+            return
+        # runs come in order of row and place; those that touch are one span
+        s, e = lo[at], lo[at] + n[at] - 1 + window
+        new = np.append(True, (row[at][1:] != row[at][:-1]) | (s[1:] > e[:-1]))
+        last = np.append(np.flatnonzero(new)[1:], len(at)) - 1
+        none = pa.nulls(int(new.sum()), pa.int64())
+        at = at[new]
+        yield zipped(made, uid=uid[at], u2=u2[at], doc=pa.array(doc[at], mask=~known[at]), a=none, c=none, lo=s[new], n=e[last] - s[new], d=none, many=none)
+
     def run(batches):
+        parts, size, seen = [], 0, 0
         for batch in batches:
             data, offsets = utf8_view(batch.column(3))
+            uid, u2 = (batch.column(k).to_numpy() for k in (0, 1))
+            known, doc = batch.column(2).is_valid().to_numpy(zero_copy_only=False), batch.column(2).fill_null(0).to_numpy()
             for x, y in row_chunks(offsets, CHUNK):
                 symbols, at = symbols_of(kind, data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
                 a, c, row, lo, hi, place = runs(symbols, at, window, gram)
+                size += int(offsets[y] - offsets[x])
                 if len(a):
-                    ids = pa.array(row + x)
-                    own = {name: batch.column(k).take(ids) for k, name in enumerate(("uid", "u2", "doc"))}
-                    yield zipped(made, **own, a=a.view(np.int64), c=c.view(np.int64), lo=lo, n=hi - lo + 1, d=place - lo)
+                    row += x
+                    parts.append((a, c, lo, hi - lo + 1, place - lo, uid[row], u2[row], known[row], doc[row], row + seen))
+                if size >= COMBINE and parts:
+                    yield from combined(parts)
+                    parts, size = [], 0
+            seen += batch.num_rows
+        if parts:
+            yield from combined(parts)
 
     return rows.mapInArrow(run, ddl)
 
@@ -223,17 +268,18 @@ def repeated_spans(docs: DataFrame, kind: str, window: int, gram: int, kernel: K
     of one id, which differ in text, in order of their hashes. Anchors with more than `most_contexts` different contexts are split.
     """
     rows = keyed(docs, id_col, text_col)
-    table = stored(anchor_table(rows, kind, window, gram), "anchors")
+    table = stored(anchor_table(rows, kind, window, gram, keep_first), "anchors")
+    seen = stored(table.filter("a is null").select(*ROW, F.col("lo").alias("s"), (F.col("lo") + F.col("n")).alias("e")), "seen")
     # stored, so that the join's sides are plain shuffles and a hot anchor's rows can be split over tasks
-    common = stored(table.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("a"), "common-anchors")
+    common = stored(table.filter("a is not null").groupBy("a").agg(F.sum("many").alias("k")).filter("k > 1").select("a"), "common-anchors")
     again = stored(table.join(common, "a", "left_semi"), "shared-anchors")
     discard(table, common)
     first = F.min(F.struct("doc", *ROW, "lo", "n", "d")).alias("rep")
-    classes = stored(again.groupBy("a", "c").agg(F.count(F.lit(1)).alias("many"), first), "classes")
-    settled = again.join(classes.filter("many > 1"), ["a", "c"])
+    classes = stored(again.groupBy("a", "c").agg(F.sum("many").alias("many"), first), "classes")
+    settled = (again if keep_first else again.filter("many = 1")).drop("many").join(classes.filter("many > 1"), ["a", "c"])
     if keep_first:
         settled = settled.filter("not (doc <=> rep.doc and uid = rep.uid and u2 = rep.u2 and lo = rep.lo)")
-    spans = [settled.select(*ROW, F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + window).alias("e"))]
+    spans = [seen, settled.select(*ROW, F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + window).alias("e"))]
     mixed = stored(classes.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "mixed-anchors")
     reps = stored(classes.join(mixed, "a").select("a", "many", "k", "rep.*"), "representatives")
     size, hot = reps.agg(F.sum(F.col("n") + window), F.max("k")).first()
@@ -243,7 +289,7 @@ def repeated_spans(docs: DataFrame, kind: str, window: int, gram: int, kernel: K
         spans, calm = spans + known, calm + more
     inside = shard_spans(reduce(DataFrame.unionByName, calm), (size or 0) * (1 if kind == "bytes" else 8), kind, window, kernel, keep_first)
     found = stored(reduce(DataFrame.union, [*spans, inside]), "spans")
-    discard(again, classes, mixed, reps)
+    discard(again, classes, mixed, reps, seen)
     return rows, found
 
 
