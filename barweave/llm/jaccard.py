@@ -1,15 +1,19 @@
-"""Near-duplicates by the exact Jaccard similarity of their shingle sets, without comparing all pairs.
+"""Near-duplicates by SimHash, verified by the exact Jaccard similarity of their shingle sets, without comparing all pairs.
 
-A pair's fingerprints tell its similarity too loosely for a bound on it: at similarity 0.8 about ten of 64 bits
-differ, give or take three, so a radius that loses nothing has no bit blocks left to split by. Candidates
-meet by the shingles themselves instead. With one order of all shingles, two sets of similarity 0.8 or more share
+Each set has a SimHash fingerprint. Fingerprints within RADIUS bits are compared as in simhash.py, and what they
+link is verified on the whole sets. That alone would lose links: at similarity 0.8 about ten of 64 bits differ, give or
+take three, and a radius that loses nothing has no bit blocks left to split by. So candidates also
+meet by the shingles themselves. With one order of all shingles, two sets of similarity 0.8 or more share
 one among the first n - ceil(0.8 n) + 1 of each (prefix filter), and at the first that they share enough is still to come
 behind it (position filter). Both are exact. The order has shingles frequent in a bounded sample last, so
 that those which many texts share seldom lead; it changes the work but not the result.
 
 Candidates are verified on the whole sets, in rounds, so that a group of copies makes rows in proportion to its size: first
-each set meets the smallest one at each of its leading shingles; then each that is still apart from others there meets
+near fingerprints, and at each leading shingle each set with the smallest one; then each that is still apart from others there meets
 a few of them, then a few more (LEADERS), the same at all shingles; what little is apart after that meets in pairs.
+Members of a large group that are near to a common text but not to each other stay apart through all rounds. A second
+fingerprint rules them out where they meet: bit b of it is the parity of the shingles that hash to b, so two sets differ in
+at least as many shingles as these fingerprints do in bits, and those that differ in too many bits can't be near.
 """
 
 from __future__ import annotations
@@ -18,18 +22,22 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _ODD, arrow_schema, discard, mix64, row_chunks, stored, utf8_view, word_hashes, words_of, zipped
 from .components import components
-from .simhash import _LOWER
+from .simhash import _LOWER, links, majority
 
 CHUNK = 1 << 20
 #: Similarity NUM / DEN or more is near.
 NUM, DEN = 4, 5
 SLOTS = 1 << 22
 LEADERS = (8, 64)
+#: Bits of 64 in which fingerprints may differ that are candidates: the mean at similarity 0.8.
+RADIUS = 10
+#: Words of 64 bits of a fingerprint of parities.
+PARITY = 8
 #: Bytes of a shingle's hash by which sets are compared.
 WIDE = 6
 
@@ -98,9 +106,18 @@ def _frequent(named: DataFrame, shingle: int, sample_rows: int, most: int) -> tu
     return h[order], got["c"].to_numpy(np.int64)[order]
 
 
+def _prints(h: np.ndarray, row: np.ndarray, n: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """The SimHash fingerprint of each set, and behind it the PARITY words of its parities."""
+    out = np.zeros((len(n), 1 + PARITY), np.uint64)
+    out[:, 0] = majority(h, n)
+    word = 1 + ((h >> np.uint64(6)) % np.uint64(PARITY)).astype(np.int64)
+    np.bitwise_xor.at(out.reshape(-1), row * (1 + PARITY) + word, np.uint64(1) << (h & np.uint64(63)))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (1 + PARITY)), pa.array(out.view(np.int64).ravel())).cast(kind)
+
+
 def _leading(named: DataFrame, shingle: int, frequent) -> DataFrame:
-    """A row for each text (h null) with its set's key and size, and one for each leading shingle of it with the place."""
-    ddl = "id long, key long, n int, h long, place int"
+    """A row for each text (h null) with its set's key, size and fingerprints, and one for each leading shingle of it with the place."""
+    ddl = "id long, key long, n int, h long, place int, print array<long>"
     made = arrow_schema(ddl)
     shipped = named.sparkSession.sparkContext.broadcast(frequent)
 
@@ -111,7 +128,7 @@ def _leading(named: DataFrame, shingle: int, frequent) -> DataFrame:
             ids = batch.column(0).to_numpy()
             for a, b in row_chunks(offsets, CHUNK):
                 h, row, n, keys = _sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)
-                yield zipped(made, id=ids[a:b], key=keys.view(np.int64), n=n, h=[None] * (b - a), place=[None] * (b - a))
+                yield zipped(made, id=ids[a:b], key=keys.view(np.int64), n=n, h=[None] * (b - a), place=[None] * (b - a), print=_prints(h, row, n, made.field("print").type))
                 rank = np.zeros(len(h), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
@@ -122,7 +139,7 @@ def _leading(named: DataFrame, shingle: int, frequent) -> DataFrame:
                 new[np.unique(keys, return_index=True)[1]] = True  # equal sets of a chunk lead once
                 kept = (place < (n - -(-NUM * n // DEN) + 1)[row]) & new[row]
                 h, row, place = h[order][kept], row[kept], place[kept]
-                yield zipped(made, id=ids[a:b][row], key=keys[row].view(np.int64), n=n[row], h=h.view(np.int64), place=place)
+                yield zipped(made, id=ids[a:b][row], key=keys[row].view(np.int64), n=n[row], h=h.view(np.int64), place=place, print=pa.nulls(len(h), made.field("print").type))
 
     return named.mapInArrow(run, ddl)
 
@@ -179,24 +196,39 @@ def _able(na, at_a, nb, at_b):
     return (NUM + DEN) * F.least(na - at_a, nb - at_b) >= NUM * (na + nb)
 
 
-def _apart(met: DataFrame, found: list[DataFrame]) -> DataFrame:
-    """Rows of shingles at which sets of different components still meet, with the component as `of`."""
+def _alike(na, one, nb, two):
+    """Whether the parities of two sets differ in no more bits than the sets may in shingles."""
+    apart = reduce(Column.__add__, [F.bit_count(one[k].bitwiseXOR(two[k])) for k in range(1, 1 + PARITY)])
+    return (NUM + DEN) * apart <= (DEN - NUM) * (na + nb)
+
+
+def _close(reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys whose fingerprints lie within RADIUS bits: a spanning set of them."""
+    prints = reps.filter("n > 0").select("key", F.col("print")[0].alias("fp"))
+    first = stored(prints.groupBy("fp").agg(F.min("key").alias("rep")), "fingerprints")
+    equal = prints.join(first, "fp").filter("key != rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
+    near = links(first.select("rep", "fp"), RADIUS)
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionAll(equal)
+
+
+def _apart(met: DataFrame, found: list[DataFrame], reps: DataFrame) -> DataFrame:
+    """Rows of shingles at which sets of different components still meet, with their fingerprints and the component as `of`."""
     label = components(reduce(DataFrame.unionAll, found))
     own = Window.partitionBy("h")
-    rows = met.join(label, met["key"] == label["node"], "left").select("h", "key", "n", "place", F.coalesce("component", "key").alias("of"))
+    rows = met.join(label, met["key"] == label["node"], "left").withColumn("of", F.coalesce("component", met["key"]))
     rows = rows.withColumn("lo", F.min("of").over(own)).withColumn("hi", F.max("of").over(own)).filter("lo < hi")
-    return stored(rows.select("h", "key", "n", "place", "of"), "apart")
+    if "print" not in met.columns:
+        rows = rows.join(reps.select("key", "print"), "key")
+    return stored(rows.select("h", "key", "n", "place", "print", "of"), "apart")
 
 
 def _meetings(x: DataFrame, y: DataFrame, done: list[DataFrame]) -> DataFrame:
     """The pairs of different components that can be near and haven't been verified."""
-    x, y = x.toDF("h", "a", "na", "pa", "oa"), y.toDF("h", "b", "nb", "pb", "ob")
+    x, y = x.toDF("h", "a", "na", "pa", "fa", "oa"), y.toDF("h", "b", "nb", "pb", "fb", "ob")
     ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    enough = _able(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"))
+    enough = _able(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb")) & _alike(F.col("na"), F.col("fa"), F.col("nb"), F.col("fb"))
     met = x.join(y, "h").filter((F.col("oa") != F.col("ob")) & enough).select(*ends).distinct()
-    for before in done:
-        met = met.join(before, ["a", "b"], "left_anti")
-    return stored(met, "pairs")
+    return stored(met.join(reduce(DataFrame.unionAll, done), ["a", "b"], "left_anti"), "pairs")
 
 
 def kept_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, sample_rows: int = 20000) -> DataFrame:
@@ -207,7 +239,7 @@ def kept_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """
     named = _shingled(docs, id_col, text_col)
     made = stored(_leading(named, shingle, _frequent(named, shingle, sample_rows, 1 << 17)), "shingles")
-    reps = stored(made.filter("h is null").groupBy("key").agg(F.min("id").alias("rep")), "representatives")
+    reps = stored(made.filter("h is null").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("print").alias("print")), "representatives")
     own = Window.partitionBy("h")
     met = made.filter("h is not null").select("h", "key", "n", "place").repartition("h").dropDuplicates(["h", "key"])
     met = met.withColumn("lead", F.min(F.struct("key", "n", "place")).over(own)).withColumn("c", F.count(F.lit(1)).over(own)).filter("c > 1")
@@ -215,11 +247,11 @@ def kept_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     discard(made)
     # a pair that only passes at another shingle is met again below
     near = met.filter((F.col("key") != F.col("lead.key")) & _able(F.col("n"), F.col("place"), F.col("lead.n"), F.col("lead.place")))
-    pairs = [stored(near.select(F.col("lead.key").alias("a"), F.col("key").alias("b")).distinct(), "pairs")]
+    pairs = [stored(near.select(F.col("lead.key").alias("a"), F.col("key").alias("b")).unionAll(_close(reps)).distinct(), "pairs")]
     found = [_verified(named, shingle, pairs[0])]
-    met = met.drop("lead")
+    apart = met.drop("lead")
     for leaders in (*LEADERS, None):
-        apart = _apart(met, found)
+        apart = _apart(apart.drop("of"), found, reps)  # what is apart later is so now: sets only join
         first = Window.partitionBy("h").orderBy(F.xxhash64("key"), "key")
         led = apart.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= leaders).drop("r") if leaders else apart
         pairs.append(_meetings(apart, led, pairs))

@@ -68,6 +68,29 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = 4, see
     return out
 
 
+#: The bits of each byte, a byte apiece.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def majority(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The fingerprint of each run of hashes (`count` of them, runs in order): bit b is set if over half have it; no hash: zero."""
+    out = np.zeros(len(count), np.uint64)
+    full = np.flatnonzero(count)
+    if not len(full):
+        return out
+    n = count[full]
+    pieces = -(-n // 255)  # as many as a byte can count
+    first = np.cumsum(pieces) - pieces
+    begin = np.repeat((np.cumsum(count) - count)[full] - 255 * first, pieces) + 255 * np.arange(int(pieces.sum()))
+    lanes = h.view(np.uint8).reshape(-1, 8)
+    ones = np.empty((len(full), BITS), np.int64)
+    for k in range(8):
+        part = np.add.reduceat(_SPREAD[lanes[:, k]], begin).view(np.uint8).reshape(-1, 8)
+        ones[:, 8 * k : 8 * k + 8] = np.add.reduceat(part, first, axis=0, dtype=np.int64)
+    out[full] = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp) of every row; a null text counts as empty, an empty one has fingerprint zero."""
     ddl = "doc_id long, fp long"
