@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
@@ -175,6 +176,32 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     return out
 
 
+try:
+    _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+except (OSError, TypeError):
+    _TRIM = None
+
+
+def give_back() -> None:
+    """Return to the system the memory that this process holds free.
+
+    Python workers stay for later tasks, several an executor, and each would keep the most that a task took.
+    """
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def lean(run):
+    """`run` for mapInArrow, with `give_back` behind a task's last batch."""
+
+    def until_done(batches):
+        yield from run(batches)
+        give_back()
+
+    return until_done
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow schema of a Spark schema string (made on the driver, shipped to the workers)."""
     from pyspark.sql.pandas.types import to_arrow_schema

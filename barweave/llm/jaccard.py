@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _ODD, arrow_schema, discard, mix64, row_chunks, stored, utf8_view, word_hashes, words_of, zipped
+from .common import _ODD, arrow_schema, discard, lean, mix64, row_chunks, stored, utf8_view, word_hashes, words_of, zipped
 from .components import components
 from .simhash import _LOWER, links, majority
 
@@ -99,7 +99,7 @@ def _frequent(named: DataFrame, shingle: int, sample_rows: int, most: int) -> tu
             for a, b in row_chunks(offsets, CHUNK):
                 yield zipped(made, h=shingles_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)[0].view(np.int64))
 
-    counts = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 2")
+    counts = sample.mapInArrow(lean(run), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 2")
     got = counts.orderBy(F.desc("c"), "h").limit(most).toPandas()  # `most` rows at most
     h = got["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
@@ -141,7 +141,7 @@ def _leading(named: DataFrame, shingle: int, frequent) -> DataFrame:
                 h, row, place = h[order][kept], row[kept], place[kept]
                 yield zipped(made, id=ids[a:b][row], key=keys[row].view(np.int64), n=n[row], h=h.view(np.int64), place=place, print=pa.nulls(len(h), made.field("print").type))
 
-    return named.mapInArrow(run, ddl)
+    return named.mapInArrow(lean(run), ddl)
 
 
 def _whole(named: DataFrame, shingle: int, keys: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def _whole(named: DataFrame, shingle: int, keys: DataFrame) -> DataFrame:
                 grams = h.view(np.uint8).reshape(-1, 8)[:, 8 - WIDE :]  # the high bytes, by which the sets are sorted
                 yield zipped(made, key=keys[first], n=n[first], grams=[grams[ends[i] - n[i] : ends[i]].tobytes() for i in first.tolist()])
 
-    return named.mapInArrow(run, ddl).dropDuplicates(["key"])
+    return named.mapInArrow(lean(run), ddl).dropDuplicates(["key"])
 
 
 def _verified(named: DataFrame, shingle: int, pairs: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def _verified(named: DataFrame, shingle: int, pairs: DataFrame) -> DataFrame:
             kept = pa.array(near, pa.bool_())
             yield zipped(made, a=batch.column("a").filter(kept), b=batch.column("b").filter(kept))
 
-    return stored(pairs.join(two, "b").join(one, "a").mapInArrow(run, ddl), "links")
+    return stored(pairs.join(two, "b").join(one, "a").mapInArrow(lean(run), ddl), "links")
 
 
 def _able(na, at_a, nb, at_b):

@@ -8,6 +8,7 @@ counts of those masks; the share expected from false positives is taken off befo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, fold, mix64, row_chunks, utf8_view, zipped
+from .common import arrow_schema, fold, give_back, lean, mix64, row_chunks, utf8_view, zipped
 
 UNKNOWN = "und"
 GRAM = 4
@@ -24,7 +25,8 @@ _LETTERS = np.full(256, 0x20, np.uint8)
 _LETTERS[0x80:] = np.arange(0x80, 0x100)
 _LETTERS[0x61:0x7B] = np.arange(0x61, 0x7B)
 _LETTERS[0x41:0x5B] = np.arange(0x61, 0x7B)
-CHUNK = 1 << 21
+#: Bytes of text at a time; a byte takes some 75 on the way.
+CHUNK = 1 << 18
 
 
 def grams_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +147,7 @@ def fit(docs: DataFrame, learn, id_col="doc_id", text_col="text", lang_col="lang
             g, n = _added(parts)
             yield zipped(made, l=[lang] * len(g), g=g.astype(np.int64), n=n)
 
-    counts = sample.mapInArrow(count, ddl).groupBy("l", "g").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(lean(count), ddl).groupBy("l", "g").agg(F.sum("n").alias("n"))
     counts = counts.persist()
     totals = {r["l"]: r["n"] for r in counts.groupBy("l").agg(F.sum("n").alias("n")).collect()}
     if not totals:
@@ -177,13 +179,14 @@ def predict(docs: DataFrame, model: LanguageFilters | None, text_col: str = "tex
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double, share double")
-    def judged(texts: pd.Series) -> pd.DataFrame:
-
+    def judged(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = held.value
-        data, offsets = utf8_view(pa.array(texts, pa.large_string()))
-        out = [own.decide(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in row_chunks(offsets, CHUNK)]
-        lang, score, share = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int), np.zeros(0), np.zeros(0))
-        return pd.DataFrame({"lang": np.array(own.langs, object)[lang], "score": score, "share": share})
+        for texts in parts:
+            data, offsets = utf8_view(pa.array(texts, pa.large_string()))
+            out = [own.decide(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in row_chunks(offsets, CHUNK)]
+            lang, score, share = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int), np.zeros(0), np.zeros(0))
+            yield pd.DataFrame({"lang": np.array(own.langs, object)[lang], "score": score, "share": share})
+        give_back()
 
     lettered = F.col(text_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")
     found = docs.withColumn("__j", judged(F.col(text_col)))

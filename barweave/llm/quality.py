@@ -8,6 +8,7 @@ turns logits into calibrated probabilities.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, fold, mix64, row_chunks, utf8_view, word_hashes, zipped
+from .common import arrow_schema, fold, give_back, lean, mix64, row_chunks, utf8_view, word_hashes, zipped
 
 SLOTS = 1 << 16
 SHAPES = 16  # ids of words outside the vocabulary, by shape
 REPEAT = SHAPES  # a token equal to the one before it
 SPECIALS = SHAPES + 1
-CHUNK = 1 << 21
+#: Bytes of text at a time; each token gathers a vector.
+CHUNK = 1 << 18
 _KIND = np.full(256, 3, np.uint8)  # 0 space, 1 letter, 2 digit, 3 other
 _KIND[list(b" \t\n\x0b\x0c\r")] = 0
 _KIND[0x80:] = 1
@@ -189,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, id_col="doc_id", text_col="te
                     h, n = np.unique(tokens_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[0], return_counts=True)
                     yield zipped(made, h=h.view(np.int64), n=n)
 
-        top = rows.mapInArrow(count, ddl).groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(vocabulary).toPandas()
+        top = rows.mapInArrow(lean(count), ddl).groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(vocabulary).toPandas()
         words = Vocabulary.build(top["h"].to_numpy(np.int64).view(np.uint64))
         held = spark.sparkContext.broadcast(words)
         ddl2 = "id long, v array<float>"
@@ -214,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, id_col="doc_id", text_col="te
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(seen) + 1) * width, pa.int32()), pa.array(full[seen].ravel().astype(np.float32)))
             yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), flat.cast(made2.field(1).type)], schema=made2)
 
-        sums = rows.mapInArrow(contexts, ddl2).groupBy("id").agg(F.array(*[F.sum(F.col("v")[k]) for k in range(width)]).alias("v")).collect()
+        sums = rows.mapInArrow(lean(contexts), ddl2).groupBy("id").agg(F.array(*[F.sum(F.col("v")[k]) for k in range(width)]).alias("v")).collect()
         vectors = np.zeros((words.size, width))
         for r in sums:
             vectors[r["id"]] = r["v"]
@@ -235,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, id_col="doc_id", text_col="te
                 x = np.concatenate([own.pooled(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in row_chunks(offsets, CHUNK)]) if batch.num_rows else np.zeros((0, width), np.float32)
                 yield zipped(made3, i=batch.column(0), y=batch.column(2), x=list(x))
 
-        got = rows.withColumn("i", F.col("i").cast("long")).mapInArrow(pool, ddl3).toPandas().sort_values(["i", "y"])
+        got = rows.withColumn("i", F.col("i").cast("long")).mapInArrow(lean(pool), ddl3).toPandas().sort_values(["i", "y"])
         x, y = np.stack(got["x"].to_numpy()).astype(float), got["y"].to_numpy(float)
         aside = mix64(got["i"].to_numpy(np.int64).view(np.uint64)) % np.uint64(5) == 0
         if aside.all() or len(set(y[~aside])) < 2:
@@ -253,8 +255,10 @@ def score(docs: DataFrame, model: QualityModel | float, text_col: str = "text",
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def probability(texts: pd.Series) -> pd.Series:
-        return pd.Series(held.value.score(*utf8_view(pa.array(texts, pa.large_string()))))
+    def probability(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series(held.value.score(*utf8_view(pa.array(texts, pa.large_string()))))
+        give_back()
 
     return docs.withColumn(out_col, probability(F.col(text_col).cast("string")))
 

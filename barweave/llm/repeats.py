@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import runs
-from .common import arrow_schema, discard, row_chunks, stored, utf8_view, word_hashes, words_of, zipped
+from .common import arrow_schema, discard, lean, row_chunks, stored, utf8_view, word_hashes, words_of, zipped
 
 CHUNK = 1 << 18
 #: Bytes of text whose runs a task combines before they are shuffled.
@@ -115,7 +115,7 @@ def anchor_table(rows: DataFrame, kind: str, window: int, gram: int, keep_first:
         if parts:
             yield from combined(parts)
 
-    return rows.mapInArrow(run, ddl)
+    return rows.mapInArrow(lean(run), ddl)
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def packed(rows: DataFrame) -> DataFrame:
         for batch in batches:
             yield zipped(made, uid=batch.column(0), u2=batch.column(1), doc=batch.column(2), z=[squeeze(t.as_buffer()) for t in batch.column(3)])
 
-    return rows.mapInArrow(run, ddl)
+    return rows.mapInArrow(lean(run), ddl)
 
 
 CONTEXT = "a long, uid long, u2 int, doc long, lo int, n int, d int, many long, ctx binary"
@@ -155,7 +155,7 @@ def contexts(rows: DataFrame, reps: DataFrame, kind: str, window: int) -> DataFr
                 yield zipped(made, **{k: part[k] for k in names}, **{k: c.take(twice) for k, c in zip(("uid", "u2", "doc"), own)}, ctx=ctx)
 
     joined = packed(rows).join(wanted, ROW).dropDuplicates(ROW).select(*ROW, "doc", "z", "w")
-    return joined.mapInArrow(run, CONTEXT)
+    return joined.mapInArrow(lean(run), CONTEXT)
 
 
 #: kernel(contexts, anchors, distances, window): for all windows of all contexts in order, whether they repeat.
@@ -203,7 +203,7 @@ def shard_spans(found: DataFrame, size: int, kind: str, window: int, kernel: Ker
             yield from judged(held)
 
     dealt = found.withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards)).cast("int"))
-    return dealt.repartition(int(tasks), "shard").sortWithinPartitions("shard", "doc", *ROW, "lo").mapInArrow(run, SPAN)
+    return dealt.repartition(int(tasks), "shard").sortWithinPartitions("shard", "doc", *ROW, "lo").mapInArrow(lean(run), SPAN)
 
 
 def split(found: DataFrame, kind: str, window: int, step: int) -> DataFrame:
@@ -237,7 +237,7 @@ def split(found: DataFrame, kind: str, window: int, step: int) -> DataFrame:
             hashes = {name: np.array(out.pop(name), np.uint64).view(np.int64) for name in ("a", "c")}
             yield zipped(made, **hashes, **out, **{name: batch.column(name).take(row) for name in ("uid", "u2", "doc", "many")})
 
-    return found.mapInArrow(run, ddl)
+    return found.mapInArrow(lean(run), ddl)
 
 
 def refined(hot: DataFrame, kind: str, window: int, most: int, keep_first: bool) -> tuple[list[DataFrame], list[DataFrame]]:

@@ -15,7 +15,7 @@ import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import arrow_schema, words_of, zipped
+from .common import arrow_schema, lean, words_of, zipped
 from .repeats import MOST_CONTEXTS, merged, repeated_spans, with_spans
 from .suffix import strings
 
@@ -132,4 +132,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     out[name].append(value.decode() if name == "kept" else value)
             yield zipped(made, **out)
 
-    return with_spans(rows, spans).mapInArrow(run, ddl).withColumnRenamed("doc_id", id_col)
+    return with_spans(rows, spans).mapInArrow(lean(run), ddl).withColumnRenamed("doc_id", id_col)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, row_chunks, stored, utf8_view, words_of, zipped
+from .common import arrow_schema, lean, row_chunks, stored, utf8_view, words_of, zipped
 from .components import components
 
 BITS = 64
@@ -103,7 +103,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             yield zipped(made, doc_id=batch.column(0), fp=fp.view(np.int64))
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, ddl)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lean(run), ddl)
 
 
 def masks(radius: int, agree: int) -> list[int]:
@@ -247,7 +247,7 @@ def links(reps: DataFrame, radius: int = 4, slice_rows: int = 16384, agree: int
             yield pairs(held)
 
     grouped = dealt.repartition("key").sortWithinPartitions("key")
-    return grouped.mapInArrow(compare, ddl)
+    return grouped.mapInArrow(lean(compare), ddl)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:

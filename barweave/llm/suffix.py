@@ -19,7 +19,7 @@ import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import arrow_schema, zipped
+from .common import arrow_schema, lean, zipped
 from .repeats import MOST_CONTEXTS, merged, repeated_spans, with_spans
 
 WINDOW, GRAM = 200, 32
@@ -203,4 +203,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     out[name].append(value)
             yield zipped(made, **out)
 
-    return with_spans(rows, spans).mapInArrow(run, ddl).withColumnRenamed("doc_id", id_col)
+    return with_spans(rows, spans).mapInArrow(lean(run), ddl).withColumnRenamed("doc_id", id_col)
